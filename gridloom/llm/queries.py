@@ -1,9 +1,11 @@
 """The registered queries of this subpackage, and their SQL."""
 
-from gridloom.llm import exact, secrets
+from gridloom.llm import decontam, exact, minhash, secrets
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
+    "op3_decontaminate": decontam.op3_decontaminate,
+    "op4_minhash_dedup": minhash.op4_minhash_dedup,
     "op7_exact_dedup": exact.op7_exact_dedup,
 }
 
