@@ -116,21 +116,20 @@ def _joined(items) -> str:
     return ",".join(sorted(map(str, items)))
 
 
-_OUT = "doc_id long, n_words long, n_hit long, items array<long>"
-
-
-def _scan_broadcast(docs: DataFrame, items: list[tuple[int, str]], keep: str = "") -> DataFrame:
+def _scan_broadcast(docs: DataFrame, items: list[tuple[int, str]], text_col: str = "text", passed: bool = False) -> DataFrame:
+    """docs' other columns, n_words, n_hit, items; passed: the text too."""
     shared = docs.sparkSession.sparkContext.broadcast(Benchmark(items))
 
     def run(batches):
         bench = shared.value
         for batch in batches:
-            found = [r for b in tb.blocks(batch["text"]) for r in bench.scan(b)]
+            found = [r for b in tb.blocks(batch[text_col]) for r in bench.scan(b)]
             arrays = [pa.array([r[0] for r in found], pa.int64()), pa.array([r[1] for r in found], pa.int64()), pa.array([sorted(r[2]) for r in found], pa.list_(pa.int64()))]
-            rest = [n for n in batch.schema.names if n not in ("doc_id", "text")] if keep else []
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], *arrays, *([batch["text"], *(batch[n] for n in rest)] if keep else [])], names=["doc_id", "n_words", "n_hit", "items", *(["text", *rest] if keep else [])])
+            rest = [(c, n) for c, n in zip(batch.columns, batch.schema.names, strict=True) if passed or n != text_col]
+            yield pa.RecordBatch.from_arrays([*(c for c, _ in rest), *arrays], names=[*(n for _, n in rest), "n_words", "n_hit", "items"])
 
-    return docs.mapInArrow(run, _OUT + keep)
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if passed or f.name != text_col]
+    return docs.mapInArrow(run, ", ".join([*kinds, "n_words long, n_hit long, items array<long>"]))
 
 
 def _scan_shuffled(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -213,10 +212,25 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return _scan_shuffled(d, b) if items is None else _scan_broadcast(d, items)
 
 
+def contaminated():
+    """At least a twentieth of the words are hit."""
+    return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of docs that are not contaminated, with their columns (which must not be named n_words, n_hit or items)."""
+    b = rows(benchmark, item_col, item_text_col).where("doc_id is not null")
+    items = small_benchmark(b)
+    if items is not None:
+        return _scan_broadcast(docs, items, text_col, passed=True).where(~contaminated()).select(docs.columns)
+    bad = _scan_shuffled(rows(docs, id_col, text_col), b).where(contaminated()).select(F.col("doc_id").alias(id_col)).distinct()
+    return docs.join(bad.hint("shuffle_hash"), id_col, "left_anti")
+
+
 def verdict(found: DataFrame) -> DataFrame:
-    """The digest columns; contaminated: at least a twentieth of the words are hit."""
+    """The digest columns."""
     names = F.array_join(F.array_sort(F.col("items").cast("array<string>")), ",")
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), contaminated().alias("contaminated"))
 
 
 def op3_decontaminate(spark, sf_dir):

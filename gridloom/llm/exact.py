@@ -42,6 +42,19 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out(frequent).unionByName(out(rest.join(rest.groupBy("digest").agg(last, F.count("*").alias("n")), "digest")))
 
 
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay, with their columns: one of each group of equal texts."""
+    groups = stored(exact_groups(docs, id_col, text_col), "groups")
+    gone = groups.where("not kept and (doc_id <> keep_id or doc_id is null)").select("doc_id", "text_sha256").distinct()
+    key = F.sha2(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), 256)
+    same = key.eqNullSafe(F.col("g.text_sha256")) & F.col(f"d.`{id_col}`").cast("long").eqNullSafe(F.col("g.doc_id"))
+    out = docs.alias("d").join(gone.alias("g").hint("shuffle_hash"), same, "left_anti")
+    # rows that repeat the id and the text that stay
+    if groups.where("not kept and doc_id = keep_id").limit(1).count():
+        out = out.dropDuplicates([id_col, text_col])
+    return out.select(docs.columns)
+
+
 def op7_exact_dedup(spark, sf_dir):
     return exact_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
