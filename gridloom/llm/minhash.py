@@ -16,8 +16,10 @@ from gridloom.llm.common import components, rows, stored
 SHINGLE = 5
 #: At a similarity of 0.85 a pair misses all bands with a chance of (1 - 0.85 ** 4) ** 20 = 4e-7.
 BANDS, BAND_ROWS = 20, 4
-#: Stars around this many centres of a bucket are tried before its remaining pairs.
+#: Stars around this many centres of a bucket are tried before the rest of it.
 STARS = 3
+#: Outsiders and members of a bucket that meet in one task.
+OUTSIDERS, MEMBERS = 256, 1024
 _STEP = np.uint64(0xD1B54A32D192ED03)
 _PI = np.uint64(0xA0761D6478BD642F)
 _CHUNK = 1 << 15
@@ -106,23 +108,76 @@ def _sets(batches):
 
 
 def _similar(percent: int):
+    """The pairs that are linked."""
+
     def run(batches):
         for batch in batches:
-            same, apart = [], []
+            same = []
             for x, y in zip(batch["sa"], batch["sb"], strict=True):
                 x, y = (np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in (x, y))
                 if len(x) > len(y):
                     x, y = y, x
-                at = np.searchsorted(y, x)
-                both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                union = len(x) + len(y) - both
-                same.append(100 * both >= percent * union)
-                apart.append(1 - both / union)
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(same, pa.bool_()), pa.array(apart, pa.float64())], names=["a", "b", "same", "apart"])
+                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+                same.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(same, pa.bool_()))
+
+    return run
+
+
+def _across(percent: int):
+    """Of one block: links between different components, as many as join them (a forest), found by counting common shingles of each outsider with all members at once."""
+
+    def run(table: pa.Table) -> pa.Table:
+        v, comp, out = table["v"].to_pylist(), table["comp"].to_pylist(), table["outsider"].to_pylist()
+        sets = [np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in table["shingles"]]
+        sizes = np.array([len(x) for x in sets])
+        flat = np.concatenate(sets)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], np.repeat(np.arange(len(sets)), sizes)[order]
+        up = {c: c for c in comp}
+
+        def top(c):
+            while up[c] != c:
+                up[c] = up[up[c]]
+                c = up[c]
+            return c
+
+        a, b = [], []
+        for i in [i for i, o in enumerate(out) if o]:
+            lo, hi = np.searchsorted(flat, sets[i], side="left"), np.searchsorted(flat, sets[i], side="right")
+            n = hi - lo
+            at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum()))
+            both = np.bincount(owner[at], minlength=len(sets))
+            for j in np.flatnonzero(100 * both >= percent * (sizes + sizes[i] - both)).tolist():
+                if (x := top(comp[i])) != (y := top(comp[j])):
+                    up[x] = y
+                    a.append(min(v[i], v[j]))
+                    b.append(max(v[i], v[j]))
+        return pa.table({"a": pa.array(a, pa.string()), "b": pa.array(b, pa.string())})
 
     return run
 
 
+def _rest(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """members: band, v, label of buckets with several components. All links between components that share a bucket, or as many as join them.
+
+    In a bucket, whoever is not of its largest component is an outsider, and is compared with all members. Outsiders and members are dealt out in blocks, a task for each
+    pair of blocks, so a task's size is bounded and what a task sends on is less than its rows.
+    """
+    counts = members.groupBy("band", "label").agg(F.count("*").alias("n"))
+    size = counts.groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("main"), (F.sum("n") - F.max("n")).alias("others"), F.sum("n").alias("all"))
+    m = members.select("band", "v", "label").join(size, "band").withColumns({
+        "outsider": F.col("label") != F.col("main"), "ks": F.ceil(F.col("others") / OUTSIDERS).cast("int"), "ls": F.ceil(F.col("all") / MEMBERS).cast("int"),
+    })
+    spread = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    own = lambda n, seed: F.pmod(F.xxhash64("v", F.lit(seed)), F.col(n)).cast("int")
+    # each member to its block, against all blocks of outsiders; each outsider, as such, to its block, against all blocks of members
+    all_ = m.select("band", "v", "label", F.lit(False).alias("outsider"), F.explode(spread("ks")).alias("k"), own("ls", 1).alias("l"))
+    out = m.where("outsider").select("band", "v", "label", F.lit(True).alias("outsider"), own("ks", 2).alias("k"), F.explode(spread("ls")).alias("l"))
+    blocks = all_.unionByName(out).select("band", "k", "l", "v", F.col("label.v").alias("comp"), "outsider").join(sets, "v")
+    return stored(blocks.groupBy("band", "k", "l").applyInArrow(_across(percent), "a string, b string"), "rest")
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, bands: int = BANDS, band_rows: int = BAND_ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable by links), kept (whether it is that one).
 
@@ -132,8 +187,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Plan: one pass over the texts gives each distinct word sequence a digest and its band hashes; copies fold into their least id before any band is shuffled. In each bucket of a
     band, members are compared with one centre (a star, not all pairs); links join components, and only buckets that still hold several components go on, with other
-    centres, and at last with the pairs across components that no bound on size or on distance to a common centre excludes. So no link is lost, and a bucket of
-    n copies costs n comparisons. Sets are made again from the texts of candidates only.
+    centres, and at last with those outside of a bucket's largest component against all of it, in blocks (see _rest). So no link between components is lost, a bucket of
+    n copies costs n comparisons, and no list of all pairs is ever made. Sets are made again from the texts of candidates only.
     """
     source = rows(docs, id_col, text_col)
     seen = stored(source.mapInArrow(_describe(bands, band_rows), "doc_id long, n_shingles long, v string, bands array<long>"), "described")
@@ -148,7 +203,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def compared(pairs: DataFrame) -> DataFrame:
         one = pairs.join(sets.select(F.col("v").alias("a"), F.col("shingles").alias("sa")), "a")
         both = one.join(sets.select(F.col("v").alias("b"), F.col("shingles").alias("sb")), "b")
-        return stored(both.select("a", "b", "sa", "sb").mapInArrow(_similar(percent), "a string, b string, same boolean, apart double"), "compared")
+        return stored(both.select("a", "b", "sa", "sb").mapInArrow(_similar(percent), "a string, b string"), "links")
 
     def ordered(df: DataFrame) -> DataFrame:
         """Pairs of different texts whose sizes allow the similarity, each once."""
@@ -156,32 +211,22 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return df.where(fits).select(F.least("va", "vb").alias("a"), F.greatest("va", "vb").alias("b")).distinct()
 
     labels = nodes.select("v", F.struct("id", "v").alias("label"))
-    done, now, open_ = None, labels, members
-    for turn in range(STARS + 1):
-        if turn < STARS:
-            key = F.struct("id", "v", "n") if turn == 0 else F.struct(F.xxhash64("v", F.lit(turn)).alias("id"), "v", "n")
-            centre = open_.groupBy("band").agg(F.min(key).alias("c")).select("band", F.col("c.v").alias("vb"), F.col("c.n").alias("nb"))
-            pairs = open_.join(centre, "band").select(F.col("v").alias("va"), F.col("n").alias("na"), "vb", "nb")
-            pairs = ordered(pairs)
-        else:
-            far = open_.join(done.select(F.col("a").alias("v"), F.col("b").alias("c"), "apart").unionByName(done.select(F.col("b").alias("v"), F.col("a").alias("c"), "apart")), "v", "left")
-            far = far.groupBy("band", "v", "n", "label").agg(F.map_from_entries(F.collect_set(F.when(F.col("c").isNotNull(), F.struct("c", "apart")))).alias("far"))
-            side = lambda s: far.select("band", F.col("v").alias(f"v{s}"), F.col("n").alias(f"n{s}"), F.col("label").alias(f"l{s}"), F.col("far").alias(f"far{s}"))
-            bound = 1 - percent / 100 + 1e-9
-            near = F.forall(F.map_keys("fara"), lambda c: F.coalesce(F.abs(F.element_at("fara", c) - F.element_at("farb", c)) <= bound, F.lit(True)))
-            pairs = ordered(side("a").join(side("b"), "band").where((F.col("va") < F.col("vb")) & (F.col("la") != F.col("lb")) & near))
-        if done is not None:
-            pairs = pairs.join(done.select("a", "b"), ["a", "b"], "left_anti")
-        new = compared(pairs)
-        done = new if done is None else stored(done.unionByName(new), "done")
-        now = components(labels, done.where("same"))
-        now = stored(now, "components")
+    links, now, open_ = None, labels, members
+    for turn in range(STARS):
+        key = F.struct("id", "v", "n") if turn == 0 else F.struct(F.xxhash64("v", F.lit(turn)).alias("id"), "v", "n")
+        centre = open_.groupBy("band").agg(F.min(key).alias("c")).select("band", F.col("c.v").alias("vb"), F.col("c.n").alias("nb"))
+        new = compared(ordered(open_.join(centre, "band").select(F.col("v").alias("va"), F.col("n").alias("na"), "vb", "nb")))
+        links = new if links is None else links.unionByName(new)
+        now = stored(components(labels, links), "components")
+        # only buckets that still hold several components go on
         left = members.where("m > 2").join(now, "v")
         mixed = left.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band")
-        if turn < STARS:
-            open_ = stored(left.join(mixed, "band").select("band", "v", "id", "n", "label"), "open")
-            if not open_.limit(1).count():
-                break
+        open_ = stored(left.join(mixed, "band").select("band", "v", "id", "n", "label"), "open")
+        if not open_.limit(1).count():
+            break
+    else:
+        links = links.unionByName(_rest(open_, sets, percent))
+        now = stored(components(labels, links), "components")
     label = now.select("v", F.col("label.id").alias("component_id"))
     return (
         seen.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("v")).alias("v")).join(label, "v", "left")
