@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.shipping import ship
+
 _mine: dict[str, SparkSession] = {}
 
 
@@ -47,6 +49,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more: str | Column) -> DataFrame:
     """doc_id, text and what is named in more; all other columns are dropped, so their names can't clash. Null text: empty."""
+    ship(df.sparkSession)
     extra = [(F.col(f"`{c}`") if isinstance(c, str) else c).alias(name) for name, c in more.items()]
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"), *extra)
 
