@@ -1,7 +1,7 @@
-"""Repeated passages: confirm what recurs, compile sharded Aho-Corasick automata of the passages, and stream documents through them to locate every occurrence.
+"""Repeated passages: confirm what recurs, compile sharded Aho-Corasick automata of it, and stream documents through them to locate every occurrence.
 
-A window is SPAN consecutive words. A passage is a run of windows of one document, their origin: the one of least id that holds them. An automaton holds the passages of many origins, cut into
-blocks of BLOCK words: a run of SPAN words of a passage holds a whole block, wherever it starts. A block that is found is extended word by word on both sides.
+A window is SPAN consecutive words. Windows that recur are confirmed by 128 bits; the origin of one is the document of least id that holds it. An automaton holds the windows of
+some stretches of origins, as sequences of word numbers, so what it locates is equal word by word.
 """
 
 from __future__ import annotations
@@ -18,13 +18,11 @@ from gridloom.llm import textblocks as tb
 from gridloom.llm.common import rows, stored
 
 SPAN = 50
-#: 2 * BLOCK - 1 <= SPAN, so that a window holds a block that starts at a multiple of BLOCK.
-BLOCK = 25
 #: Fingerprints: the least of W runs of K words; K + W - 1 = SPAN, so that each window holds one.
 K = 20
 W = SPAN - K + 1
-#: Words of passages in one automaton, and bytes of documents that one task streams through it.
-SHARD_WORDS, STREAM_BYTES = 200_000, 16_000_000
+#: Windows of one stretch of an origin, and in one automaton; bytes of documents that one task streams through it.
+STRETCH, SHARD_WINDOWS, STREAM_BYTES = 2_000, 8_000, 16_000_000
 
 
 def _digest(words: list[bytes]) -> str:
@@ -88,69 +86,53 @@ def _at(x: np.ndarray, places: np.ndarray, seed: int) -> np.ndarray:
 
 
 def _passages(batches):
-    """Of each origin, the words of its runs of recurring windows: doc_id, passages (array of text)."""
+    """Of each stretch of an origin, the words of its runs of recurring windows: origin, stretch, passages (array of text), n (windows)."""
     for batch in batches:
-        ids, out = [], []
+        out = {"origin": [], "stretch": [], "passages": [], "n": []}
         for doc, text, places in zip(*(batch[c].to_pylist() for c in ("doc_id", "text", "places")), strict=True):
             words = text.encode().split()
             at = np.array(sorted(places))
-            cut = np.flatnonzero(np.diff(at) != 1) + 1
-            ids.append(doc)
-            out.append([b" ".join(words[run[0] : run[-1] + SPAN]).decode() for run in np.split(at, cut)])
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.list_(pa.string()))], names=["doc_id", "passages"])
+            cut = np.flatnonzero((np.diff(at) != 1) | (at[1:] // STRETCH != at[:-1] // STRETCH)) + 1
+            runs: dict[int, list[np.ndarray]] = {}
+            for run in np.split(at, cut):
+                runs.setdefault(int(run[0]) // STRETCH, []).append(run)
+            for stretch, own in runs.items():
+                out["origin"].append(doc)
+                out["stretch"].append(stretch)
+                out["passages"].append([b" ".join(words[run[0] : run[-1] + SPAN]).decode() for run in own])
+                out["n"].append(sum(map(len, own)))
+        yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("origin", pa.int64()), ("stretch", pa.int64()), ("passages", pa.list_(pa.string())), ("n", pa.int64())]))
 
 
 class Automaton:
-    """An Aho-Corasick automaton over sequences of word numbers."""
+    """An Aho-Corasick automaton of all windows of some passages, over word numbers."""
 
     def __init__(self, passages: list[tuple[int, bytes]]):
         """passages: (origin, text)."""
         self.number: dict[bytes, int] = {}
-        self.passages: list[tuple[int, np.ndarray]] = []
-        places: dict[tuple, list[tuple[int, int]]] = {}
-        for origin, text in passages:
-            words = [self.number.setdefault(w, len(self.number) + 1) for w in text.split()]
-            p = len(self.passages)
-            self.passages.append((origin, np.array(words)))
-            for s in range(0, len(words) - BLOCK + 1, BLOCK):
-                places.setdefault(tuple(words[s : s + BLOCK]), []).append((p, s))
         self.machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for key, at in places.items():
-            self.machine.add_word(key, at)
-        if places:
+        for origin, text in passages:
+            words = tuple([self.number.setdefault(w, len(self.number) + 1) for w in text.split()])
+            for s in range(len(words) - SPAN + 1):
+                self.machine.add_word(words[s : s + SPAN], origin)
+        if len(self.machine):
             self.machine.make_automaton()
 
     def locate(self, doc: int, text: bytes) -> list[tuple[int, int]]:
-        """Word ranges of the text that lie in a run of SPAN words or more of a passage of a smaller origin."""
-        words = tuple(self.number.get(w, 0) for w in text.split())
+        """Word ranges of the text that windows of smaller origins cover."""
+        words = tuple([self.number.get(w, 0) for w in text.split()])
         if len(words) < SPAN or not len(self.machine):
             return []
-        ranges, arr, covered, near = [], np.array(words), np.zeros(len(words), dtype=bool), SPAN - BLOCK
-        for last, at in self.machine.iter(words):
-            first = last - BLOCK + 1
-            around = covered[max(0, first - near) : last + 1 + near]
-            for p, s in at:
-                # a window that holds this block and a word not yet covered lies within the surroundings
-                if around.all():
-                    break
-                origin, want = self.passages[p]
-                if origin >= doc:
-                    continue
-                n = min(first, s)
-                differ = np.flatnonzero(arr[first - n : first] != want[s - n : s])
-                lo = first - n + (int(differ[-1]) + 1 if len(differ) else 0)
-                n = min(len(arr) - last - 1, len(want) - s - BLOCK)
-                differ = np.flatnonzero(arr[last + 1 : last + 1 + n] != want[s + BLOCK : s + BLOCK + n])
-                hi = last + 1 + (int(differ[0]) if len(differ) else n)
-                if hi - lo >= SPAN:
-                    covered[lo:hi] = True
-                    ranges.append((lo, hi))
-        return ranges
+        last = np.array([i for i, origin in self.machine.iter(words) if origin < doc], dtype=np.int64)
+        if not len(last):
+            return []
+        cut = np.flatnonzero(np.diff(last) > SPAN)
+        return list(zip((last[np.append(0, cut + 1)] - SPAN + 1).tolist(), (last[np.append(cut, len(last) - 1)] + 1).tolist(), strict=True))
 
 
 def _stream(left: pa.Table, right: pa.Table) -> pa.Table:
     """One shard, and a part of the documents that are routed to it."""
-    machine = Automaton([(o, p.encode()) for o, ps in zip(left["doc_id"].to_pylist(), left["passages"].to_pylist(), strict=True) for p in ps])
+    machine = Automaton([(o, p.encode()) for o, ps in zip(left["origin"].to_pylist(), left["passages"].to_pylist(), strict=True) for p in ps])
     out = {"doc_id": [], "raw": [], "from": [], "upto": []}
     for batch in right.to_batches():
         for doc, raw, text in zip(*(batch[c].to_pylist() for c in ("doc_id", "raw", "text")), strict=True):
@@ -174,7 +156,7 @@ def _kept(batches):
         yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["raw"], pa.array(gone, pa.int64()), pa.array(left, pa.string())], names=["doc_id", "raw", "gone", "left"])
 
 
-def _ranges(source: DataFrame, found: DataFrame, shard_words: int, stream_bytes: int) -> tuple[DataFrame, DataFrame]:
+def _ranges(source: DataFrame, found: DataFrame, shard_windows: int, stream_bytes: int) -> tuple[DataFrame, DataFrame]:
     """(texts, ranges): the texts that share a fingerprint with another, and the word ranges (doc_id, raw, from, upto) of theirs that also stand in a document of smaller id."""
     # copies of a whole text need no windows: the least id stands for them
     first = found.where(f"doc_id is not null and n_words >= {SPAN}").groupBy("digest").agg(F.min(F.struct("doc_id", "raw")).alias("f"), F.first("prints").alias("prints"))
@@ -185,24 +167,24 @@ def _ranges(source: DataFrame, found: DataFrame, shard_words: int, stream_bytes:
     windows = stored(texts.mapInArrow(_windows, "w1 long, w2 long, doc_id long, at long"), "windows")
     held = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.max("doc_id").alias("hi")).where("first.doc_id < hi")
     held = stored(held.select("w1", "w2", F.col("first.doc_id").alias("origin"), F.col("first.at").alias("at")), "held")
-    routes = stored(windows.join(held.select("w1", "w2", "origin"), ["w1", "w2"]).where("doc_id > origin").select("doc_id", "origin").distinct(), "routes")
+    found_at = held.select("w1", "w2", "origin", F.floor(F.col("at") / STRETCH).alias("stretch"))
+    routes = stored(windows.join(found_at, ["w1", "w2"]).where("doc_id > origin").select("doc_id", "origin", "stretch").distinct(), "routes")
     places = held.groupBy(F.col("origin").alias("doc_id")).agg(F.collect_list("at").alias("places"))
-    passages = stored(texts.select("doc_id", "text").join(places, "doc_id").mapInArrow(_passages, "doc_id long, passages array<string>"), "passages")
-    # shards of about shard_words, by the origin's hash: a document goes to those of its origins only
-    words = passages.select(F.sum(F.aggregate("passages", F.lit(0).cast("long"), lambda a, p: a + F.size(F.split(p, " "))))).first()[0] or 0
-    n_shards = 1 + int(words // shard_words)
-    shard = lambda c: F.pmod(F.xxhash64(c), F.lit(n_shards)).cast("int")
-    routed = routes.select("doc_id", shard("origin").alias("shard")).distinct()
+    passages = stored(texts.select("doc_id", "text").join(places, "doc_id").mapInArrow(_passages, "origin long, stretch long, passages array<string>, n long"), "passages")
+    # shards of about shard_windows, by a hash of origin and stretch: a document goes to those only with which it shares a window
+    n_shards = 1 + int((passages.agg(F.sum("n")).first()[0] or 0) // shard_windows)
+    shard = F.pmod(F.xxhash64("origin", "stretch"), F.lit(n_shards)).cast("int")
+    routed = routes.select("doc_id", shard.alias("shard")).distinct()
     size = texts.select("doc_id", F.octet_length("text").alias("bytes"))
     # a shard that many documents need is compiled by several tasks, each for about stream_bytes of them
     load = stored(routed.join(size, "doc_id").groupBy("shard").agg((1 + F.floor(F.sum("bytes") / stream_bytes)).cast("int").alias("parts")), "load")
     right = routed.join(load, "shard").withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts").cast("int")).join(texts.select("doc_id", "raw", "text"), "doc_id")
-    left = passages.withColumn("shard", shard("doc_id")).join(load, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    left, right = left.select("shard", "part", "doc_id", "passages"), right.select("shard", "part", "doc_id", "raw", "text")
+    left = passages.withColumn("shard", shard).join(load, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    left, right = left.select("shard", "part", "origin", "passages"), right.select("shard", "part", "doc_id", "raw", "text")
     return texts, left.groupBy("shard", "part").cogroup(right.groupBy("shard", "part")).applyInArrow(_stream, "doc_id long, raw long, from long, upto long")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_words: int = SHARD_WORDS, stream_bytes: int = STREAM_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_windows: int = SHARD_WINDOWS, stream_bytes: int = STREAM_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, ranges (array of from, upto), left (the words that stay of a text that loses some, joined by spaces; else null).
 
     Each word goes that a window covers whose words also start in a document of smaller doc_id. Words are runs between ASCII white space, unchanged; windows are judged on the
@@ -211,11 +193,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Plan: rolling hashes only choose candidates: fingerprints of which each window holds one, counted over the corpus with a combining aggregate; then 128 bits for windows
     around those that recur. What is left is a small part of the corpus: recurring windows joined into passages at their origin. Passages form shards of bounded size, each an automaton;
-    a document is streamed through the shards of those origins only with which it shares a window, and a shard that many documents need is dealt to several tasks.
+    a document is streamed through those shards only with which it shares a window, and a shard that many documents need is dealt to several tasks.
     """
     source = rows(docs, id_col, text_col).withColumn("raw", F.xxhash64("text"))
     found = stored(source.mapInArrow(_describe, "doc_id long, raw long, n_words long, digest string, prints array<long>"), "described")
-    texts, ranges = _ranges(source, found, shard_words, stream_bytes)
+    texts, ranges = _ranges(source, found, shard_windows, stream_bytes)
     per = stored(ranges.groupBy("doc_id", "raw").agg(F.array_sort(F.collect_set(F.struct("from", "upto"))).alias("ranges")), "ranges")
     cut = stored(texts.join(per, ["doc_id", "raw"]).select("doc_id", "raw", "text", "ranges").mapInArrow(_kept, "doc_id long, raw long, gone long, left string"), "cut")
     cut = cut.join(per, ["doc_id", "raw"])
