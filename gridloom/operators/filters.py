@@ -134,7 +134,8 @@ def bilateral_filter(m: Mat, d: int, sigma_color: float, sigma_space: float, bor
     parts = F.transform("near", lambda s: F.struct(weight(s).alias("w"), *[s[k].cast("double").alias(k) for k in names]))
     around = around.withColumn("parts", parts)
     total = F.aggregate("parts", F.lit(0.0), lambda a, s: a + s["w"])
-    out = [saturate(F.aggregate("parts", F.lit(0.0), lambda a, s, k=k: a + s["w"] * s[k]) / total, m.meta.depth) for k in names]
+    mean = lambda k: F.aggregate("parts", F.lit(0.0), lambda a, s: a + s["w"] * s[k]) / total
+    out = [saturate(mean(k), m.meta.depth) for k in names]
     return narrow(around.select("mat_id", F.col("oy").alias("y"), F.col("ox").alias("x"), *[o.alias(k) for o, k in zip(out, names, strict=True)]), m.meta, *map(F.col, names))
 
 

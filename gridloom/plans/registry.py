@@ -26,7 +26,7 @@ def query(name: str, run: Callable, sql: str | None = None, *more: str) -> None:
     if sql is not None:
         used = [f for f in fixtures.SQL if any(re.search(rf"\b{f}\b", s) for s in (sql, *more))]
         tables = [*(f"{f} as ({fixtures.SQL[f]})" for f in used), *more]
-        SQL[name] = (f"with {', '.join(tables)} " if tables else "") + sql
+        SQL[name] = (f"with recursive {', '.join(tables)} " if tables else "") + sql
 
 
 def px(m: Mat) -> DataFrame:
