@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, and their SQL."""
 
-from gridloom.llm import bpe, decontam, exact, langid, minhash, phrases, quality, secrets, toxicity
+from gridloom.llm import bpe, decontam, exact, langid, minhash, oracles, phrases, quality, secrets, toxicity
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -16,5 +16,9 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_secret_scan": oracles.OP1,
+    "op2_remove_repeats": oracles.OP2,
+    "op3_decontaminate": oracles.OP3,
+    "op4_minhash_dedup": oracles.OP4,
     "op7_exact_dedup": exact.OP7_SQL,
 }
