@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 
 from gridloom.matrix import DEPTHS, KEY, Mat, aligned, lane, require, same_kind, saturate, wrapped
 
-NAN, INF = F.lit(float("nan")), F.lit(float("inf"))
+
+
+def _special(name: str) -> Column:
+    return F.lit(float(name))
 
 
 def _lanes(scalar, meta) -> Column:
@@ -67,7 +70,7 @@ def multiply(a, b) -> Mat:
 def _divided(x: Column, y: Column) -> Column:
     """IEEE division of doubles, which ANSI mode refuses by zero."""
     x, y = x.cast("double"), y.cast("double")
-    return F.when(y != 0, x / F.when(y != 0, y)).when(F.isnan(x) | F.isnan(y) | (x == 0), NAN).when(x > 0, INF).otherwise(-INF)
+    return F.when(y != 0, x / F.when(y != 0, y)).when(F.isnan(x) | F.isnan(y) | (x == 0), _special("nan")).when(x > 0, _special("inf")).otherwise(_special("-inf"))
 
 
 def divide(a, b) -> Mat:
@@ -253,13 +256,13 @@ def exp(a: Mat) -> Mat:
 
 def log(a: Mat) -> Mat:
     """0: minus infinity; below: NaN."""
-    return _float_math(a, lambda v: F.when(v > 0, F.ln(v)).when(v == 0, -INF).otherwise(NAN))
+    return _float_math(a, lambda v: F.when(v > 0, F.ln(v)).when(v == 0, _special("-inf")).otherwise(_special("nan")))
 
 
 def check_range(a: Mat, low: float = -math.inf, high: float = math.inf, quiet: bool = True) -> DataFrame:
     """For each matrix: ok, and the first bad place by rows (x, y; -1 if none). The upper bound is exclusive."""
     v = F.col("v").cast("double")
-    finite = ~F.isnan(v) & (F.abs(v) != INF)
+    finite = ~F.isnan(v) & (F.abs(v) != _special("inf"))
     bad = ~finite | (v < low) | (v >= high) if low < high else F.lit(True)
     out = a.px.groupBy("mat_id").agg(F.min(F.when(bad, F.struct("y", "x"))).alias("p"))
     out = out.select("mat_id", F.col("p").isNull().alias("ok"), F.coalesce("p.x", F.lit(-1)).alias("x"), F.coalesce("p.y", F.lit(-1)).alias("y"))
