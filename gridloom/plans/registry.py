@@ -43,7 +43,7 @@ def flagship(spark, sf_dir: str) -> DataFrame:
 
 
 def load() -> None:
-    from gridloom.plans import queries_core, queries_images  # noqa: F401
+    from gridloom.plans import queries_core, queries_images, queries_packed  # noqa: F401
 
 
 load()
