@@ -233,7 +233,8 @@ def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     held out). An empty table gives none. Other columns don't matter. One pass, no shuffle of texts; the model's size is fixed for each language.
     """
     d = rows(docs, id_col, text_col, lang=lang_col)
-    field = train([(t, str(y)) for t, y in labelled(d, "lang", n_rows, n_bytes)])
+    spoken = d.groupBy("doc_id").agg(F.min("lang").alias("label"))
+    field = train([(t, str(y)) for t, y in labelled(d.select("doc_id", "text"), spoken, n_rows, n_bytes)])
     shared = docs.sparkSession.sparkContext.broadcast(field)
     source, at = (docs, text_col) if passed else (d.select("doc_id", held_out().alias("held_out"), "text"), "text")
 

@@ -11,21 +11,22 @@ from gridloom.llm.common import held_out
 ROWS, BYTES = 6000, 24_000_000
 
 
-def labelled(docs: DataFrame, label: str, n_rows: int = ROWS, n_bytes: int = BYTES) -> list[tuple[str, object]]:
+def labelled(docs: DataFrame, labels: DataFrame, n_rows: int = ROWS, n_bytes: int = BYTES) -> list[tuple[str, object]]:
     """(text, label) of at most n_rows rows and n_bytes bytes, whole texts, by the order of the id's hash.
 
-    docs: doc_id, text and label. Rows with a null label or id, and held-out rows, are never among them; a row that would exceed n_bytes is passed over.
+    docs: doc_id, text. labels: doc_id, label, one row for each id. Rows with a null label or id, and held-out rows, are never among them; a row that would exceed n_bytes is
+    passed over. Only ids and sizes meet the labels; texts are then read for the chosen ids, which are broadcast: at most n_rows of them.
     """
-    free = docs.where(~held_out() & F.col(label).isNotNull() & F.col("doc_id").isNotNull())
-    key = F.xxhash64("doc_id").alias("key")
-    size = F.octet_length("text")
-    listed = free.select(key, "doc_id", size.alias("bytes")).orderBy("key", "doc_id").limit(n_rows).collect()
-    ids, total = [], 0
+    sizes = docs.where(~held_out() & F.col("doc_id").isNotNull()).select("doc_id", F.octet_length("text").alias("bytes"))
+    key = F.xxhash64("doc_id")
+    listed = sizes.join(labels.where("label is not null").select("doc_id", "label"), "doc_id").orderBy(key, "doc_id", "bytes").limit(n_rows).collect()
+    chosen, total = {}, 0
     for r in listed:
         if total + r["bytes"] <= n_bytes:
             total += r["bytes"]
-            ids.append((r["doc_id"],))
-    if not ids:
+            chosen[r["doc_id"]] = r["label"]
+    if not chosen:
         return []
-    chosen = F.broadcast(docs.sparkSession.createDataFrame(sorted(set(ids)), "doc_id long"))
-    return [(r[0], r[1]) for r in free.where(size <= n_bytes).join(chosen, "doc_id").orderBy(key, "doc_id", "text").limit(n_rows).select("text", label).collect()]
+    ids = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in sorted(chosen)], "doc_id long"))
+    texts = docs.select("doc_id", "text").where(F.octet_length("text") <= n_bytes).join(ids, "doc_id").orderBy(key, "doc_id", F.octet_length("text"), "text").limit(n_rows).collect()
+    return [(r["text"], chosen[r["doc_id"]]) for r in texts]

@@ -148,7 +148,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     """
     d = rows(docs, id_col, text_col)
     y = labels.select(F.col(f"`{label_id_col}`").cast("long").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("label")).groupBy("doc_id").agg(F.max("label").alias("label"))
-    shared = docs.sparkSession.sparkContext.broadcast(train([(t, int(v)) for t, v in labelled(d.join(y.where("label is not null"), "doc_id"), "label", n_rows, n_bytes)]))
+    shared = docs.sparkSession.sparkContext.broadcast(train([(t, int(v)) for t, v in labelled(d, y, n_rows, n_bytes)]))
 
     def run(batches):
         model = shared.value
