@@ -44,7 +44,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/gridloom-{uuid.uuid4().hex}-{name}"
     df.write.option("compression", "zstd").parquet(path)
     _mine[path] = spark
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables that stored() has made, and that nothing reads any more."""
+    for t in tables:
+        if path := getattr(t, "_table", None):
+            drop(t.sparkSession, path)
+            _mine.pop(path, None)
 
 
 def rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more: str | Column) -> DataFrame:
@@ -68,16 +78,18 @@ def components(nodes: DataFrame, links: DataFrame, rounds: int = 60) -> DataFram
     """
     links = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
     ends = links.select(F.col("a").alias("v")).distinct()
-    now = stored(nodes.join(ends, "v").select("v", "label"), "labels")
+    now = table = stored(nodes.join(ends, "v").select("v", "label"), "labels")
     for _ in range(rounds):
         near = links.join(now.withColumnRenamed("v", "a"), "a").groupBy(F.col("b").alias("v")).agg(F.min("label").alias("near"))
         least = now.join(near, "v", "left").select("v", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         up = now.select(F.col("v").alias("up"), F.col("label").alias("top"))
         new = stored(least.join(up, F.col("label.v") == F.col("up"), "left").select("v", "was", F.least("label", "top").alias("label")), "labels")
         moved = new.where(F.col("was") != F.col("label")).limit(1).count()
-        now = new.select("v", "label")
+        release(table)
+        now, table = new.select("v", "label"), new
         if not moved:
             break
     else:
         raise RuntimeError(f"components: not settled in {rounds} rounds")
+    release(links)
     return nodes.join(now.withColumnRenamed("label", "least"), "v", "left").select("v", F.coalesce("least", "label").alias("label"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import textblocks as tb
-from gridloom.llm.common import components, rows, stored
+from gridloom.llm.common import components, release, rows, stored
 
 SHINGLE = 5
 #: At a similarity of 0.85 a pair misses all bands with a chance of (1 - 0.85 ** 4) ** 20 = 4e-7.
@@ -211,22 +211,24 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return df.where(fits).select(F.least("va", "vb").alias("a"), F.greatest("va", "vb").alias("b")).distinct()
 
     labels = nodes.select("v", F.struct("id", "v").alias("label"))
-    links, now, open_ = None, labels, members
+    links, now, open_, tables = None, labels, members, [nodes, members, sets]
     for turn in range(STARS):
         key = F.struct("id", "v", "n") if turn == 0 else F.struct(F.xxhash64("v", F.lit(turn)).alias("id"), "v", "n")
         centre = open_.groupBy("band").agg(F.min(key).alias("c")).select("band", F.col("c.v").alias("vb"), F.col("c.n").alias("nb"))
-        new = compared(ordered(open_.join(centre, "band").select(F.col("v").alias("va"), F.col("n").alias("na"), "vb", "nb")))
+        tables.append(new := compared(ordered(open_.join(centre, "band").select(F.col("v").alias("va"), F.col("n").alias("na"), "vb", "nb"))))
         links = new if links is None else links.unionByName(new)
-        now = stored(components(labels, links), "components")
+        tables.append(now := stored(components(labels, links), "components"))
         # only buckets that still hold several components go on
         left = members.where("m > 2").join(now, "v")
         mixed = left.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band")
-        open_ = stored(left.join(mixed, "band").select("band", "v", "id", "n", "label"), "open")
+        tables.append(open_ := stored(left.join(mixed, "band").select("band", "v", "id", "n", "label"), "open"))
         if not open_.limit(1).count():
             break
     else:
-        links = links.unionByName(_rest(open_, sets, percent))
+        tables.append(rest := _rest(open_, sets, percent))
+        links = links.unionByName(rest)
         now = stored(components(labels, links), "components")
+    release(*[t for t in tables if t is not now])
     label = now.select("v", F.col("label.id").alias("component_id"))
     return (
         seen.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("v")).alias("v")).join(label, "v", "left")

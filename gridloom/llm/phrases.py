@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import textblocks as tb
-from gridloom.llm.common import rows, stored
+from gridloom.llm.common import release, rows, stored
 
 SPAN = 50
 #: Fingerprints: the least of W runs of K words; K + W - 1 = SPAN, so that each window holds one.
@@ -156,8 +156,8 @@ def _kept(batches):
         yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["raw"], pa.array(gone, pa.int64()), pa.array(left, pa.string())], names=["doc_id", "raw", "gone", "left"])
 
 
-def _ranges(source: DataFrame, found: DataFrame, shard_windows: int, stream_bytes: int) -> tuple[DataFrame, DataFrame]:
-    """(texts, ranges): the texts that share a fingerprint with another, and the word ranges (doc_id, raw, from, upto) of theirs that also stand in a document of smaller id."""
+def _ranges(source: DataFrame, found: DataFrame, shard_windows: int, stream_bytes: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """(texts, ranges, tables to release): the texts that share a fingerprint with another, and the word ranges (doc_id, raw, from, upto) of theirs that also stand in a document of smaller id."""
     # copies of a whole text need no windows: the least id stands for them
     first = found.where(f"doc_id is not null and n_words >= {SPAN}").groupBy("digest").agg(F.min(F.struct("doc_id", "raw")).alias("f"), F.first("prints").alias("prints"))
     prints = stored(first.select("f.doc_id", "f.raw", F.explode("prints").alias("print")), "prints")
@@ -165,10 +165,12 @@ def _ranges(source: DataFrame, found: DataFrame, shard_windows: int, stream_byte
     asked = prints.join(recur, "print").groupBy("doc_id", "raw").agg(F.collect_list("print").alias("prints"))
     texts = stored(source.join(asked.hint("shuffle_hash"), ["doc_id", "raw"]).select("doc_id", "raw", "text", "prints").dropDuplicates(["doc_id", "raw"]), "texts")
     windows = stored(texts.mapInArrow(_windows, "w1 long, w2 long, doc_id long, at long"), "windows")
+    release(prints)
     held = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.max("doc_id").alias("hi")).where("first.doc_id < hi")
     held = stored(held.select("w1", "w2", F.col("first.doc_id").alias("origin"), F.col("first.at").alias("at")), "held")
     found_at = held.select("w1", "w2", "origin", F.floor(F.col("at") / STRETCH).alias("stretch"))
     routes = stored(windows.join(found_at, ["w1", "w2"]).where("doc_id > origin").select("doc_id", "origin", "stretch").distinct(), "routes")
+    release(windows)
     places = held.groupBy(F.col("origin").alias("doc_id")).agg(F.collect_list("at").alias("places"))
     passages = stored(texts.select("doc_id", "text").join(places, "doc_id").mapInArrow(_passages, "origin long, stretch long, passages array<string>, n long"), "passages")
     # shards of about shard_windows, by a hash of origin and stretch: a document goes to those only with which it shares a window
@@ -181,7 +183,8 @@ def _ranges(source: DataFrame, found: DataFrame, shard_windows: int, stream_byte
     right = routed.join(load, "shard").withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts").cast("int")).join(texts.select("doc_id", "raw", "text"), "doc_id")
     left = passages.withColumn("shard", shard).join(load, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     left, right = left.select("shard", "part", "origin", "passages"), right.select("shard", "part", "doc_id", "raw", "text")
-    return texts, left.groupBy("shard", "part").cogroup(right.groupBy("shard", "part")).applyInArrow(_stream, "doc_id long, raw long, from long, upto long")
+    ranges = left.groupBy("shard", "part").cogroup(right.groupBy("shard", "part")).applyInArrow(_stream, "doc_id long, raw long, from long, upto long")
+    return texts, ranges, [held, routes, passages, load]
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_windows: int = SHARD_WINDOWS, stream_bytes: int = STREAM_BYTES) -> DataFrame:
@@ -197,9 +200,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     source = rows(docs, id_col, text_col).withColumn("raw", F.xxhash64("text"))
     found = stored(source.mapInArrow(_describe, "doc_id long, raw long, n_words long, digest string, prints array<long>"), "described")
-    texts, ranges = _ranges(source, found, shard_windows, stream_bytes)
+    texts, ranges, tables = _ranges(source, found, shard_windows, stream_bytes)
     per = stored(ranges.groupBy("doc_id", "raw").agg(F.array_sort(F.collect_set(F.struct("from", "upto"))).alias("ranges")), "ranges")
     cut = stored(texts.join(per, ["doc_id", "raw"]).select("doc_id", "raw", "text", "ranges").mapInArrow(_kept, "doc_id long, raw long, gone long, left string"), "cut")
+    release(texts, *tables)
     cut = cut.join(per, ["doc_id", "raw"])
     found = found.drop("prints")
     least = found.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("least"))

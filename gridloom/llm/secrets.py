@@ -46,8 +46,8 @@ def _written(spans: Column) -> Column:
     return F.array_join(F.transform(ordered, lambda x: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), x["k"] + 1), x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text's base spans and candidates: array<struct<s, k, e, value>>. Candidates: runs of 20 and more that overlap no base span."""
+def find_secrets(docs: DataFrame) -> DataFrame:
+    """docs (see common.rows) with base and runs in the text's place: array<struct<s, k, e, value>>. Runs are of 20 characters and more, and overlap no base span."""
     text = F.col("text")
     base = F.concat(_spans(text, ASSIGN, 0, 2, 6), _spans(text, ACCESS, 1), _spans(text, HEX, 2))
     runs = F.filter(_spans(text, RUN, 3), lambda x: F.size(F.array_distinct(F.split(x["value"], ""))) >= MIN_DISTINCT)
