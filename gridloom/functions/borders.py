@@ -43,9 +43,11 @@ def pad(m: Mat, top: int, bottom: int, left: int, right: int, mode: str = "REFLE
     cols = meta.cols + left + right
     if mode == "CONSTANT":
         lanes = list(value) if isinstance(value, (list, tuple)) else [value] * meta.channels
-        grid = m.spark.range(-top, meta.rows + bottom).select(F.col("id").cast("int").alias("y")).crossJoin(F.broadcast(m.spark.range(-left, meta.cols + right).select(F.col("id").cast("int").alias("x"))))
-        frame = grid.where(~(F.col("y").between(0, meta.rows - 1) & F.col("x").between(0, meta.cols - 1))).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(meta.channels - 1))))
-        frame = m.px.select("mat_id").distinct().crossJoin(F.broadcast(frame)).withColumn("v", saturate(lane(lanes, meta.channels), meta.depth))
+        span = lambda lo, hi: F.sequence(F.lit(lo), F.lit(hi)) if hi >= lo else F.array().cast("array<int>")
+        sides = F.concat(span(-left, -1), span(meta.cols, meta.cols + right - 1))
+        frame = m.px.select("mat_id").distinct().withColumn("y", F.explode(span(-top, meta.rows + bottom - 1)))
+        frame = frame.withColumn("x", F.explode(F.when(F.col("y").between(0, meta.rows - 1), sides).otherwise(span(-left, meta.cols + right - 1))))
+        frame = frame.withColumn("c", F.explode(span(0, meta.channels - 1))).withColumn("v", saturate(lane(lanes, meta.channels), meta.depth))
         px = m.px.unionByName(frame)
     else:
         ys, xs = _axis(m, top, bottom, meta.rows, mode, "y"), _axis(m, left, right, meta.cols, mode, "x")

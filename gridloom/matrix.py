@@ -124,9 +124,10 @@ class Mat:
             (F.col(mat_id).cast("string") if mat_id else F.lit("m")).alias("mat_id"), F.col(y).cast("int").alias("y"), F.col(x).cast("int").alias("x"),
             (F.col(c).cast("int") if c else F.lit(0)).alias("c"), saturate(F.col(v), meta.depth).alias("v"),
         )
-        grid = Mat.zeros(rows.sparkSession, meta).px.select("y", "x", "c")
-        ids = one.select("mat_id").distinct()
-        return Mat(ids.crossJoin(F.broadcast(grid)).join(one, KEY, "left").select(*KEY, F.coalesce("v", saturate(F.lit(0.0), meta.depth)).alias("v")), meta)
+        grid = one.select("mat_id").distinct()
+        for name, n in (("y", meta.rows), ("x", meta.cols), ("c", meta.channels)):
+            grid = grid.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+        return Mat(grid.join(one, KEY, "left").select(*KEY, F.coalesce("v", saturate(F.lit(0.0), meta.depth)).alias("v")), meta)
 
     # values
 
