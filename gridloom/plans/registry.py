@@ -35,11 +35,11 @@ def px(m: Mat) -> DataFrame:
 
 
 def flagship(spark, sf_dir: str) -> DataFrame:
-    """Smooth the heat map, take what is above 96, and list the places."""
+    """Smooth the heat map, take what is above 8, and list the places."""
     from gridloom.operators import filters, intensity, reductions
 
     m = filters.box_filter(fixtures.heat(spark, sf_dir), 3, 3, border="REPLICATE")
-    return reductions.find_non_zero(intensity.threshold(m, 96, 255)).select("i", "x", "y")
+    return reductions.find_non_zero(intensity.threshold(m, 8, 255)).select("i", "x", "y")
 
 
 def load() -> None:
