@@ -1,7 +1,7 @@
 """Some of each family of queries against their SQL; the rest differ in parameters only."""
 
 import pytest
-from conftest import SF, same
+from helpers import SF, same
 
 from gridloom.plans import registry
 

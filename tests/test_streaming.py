@@ -1,5 +1,5 @@
 import pytest
-from conftest import SF
+from helpers import SF
 
 from gridloom.operators.intensity import accumulated_frames
 from gridloom.plans.fixtures import daily
