@@ -1,7 +1,7 @@
 """Held-out accuracy on the given tables, and the pipeline against its parts."""
 
 import pytest
-from conftest import plain, same
+from helpers import plain, same
 
 from gridloom.llm import queries
 
