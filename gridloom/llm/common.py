@@ -70,26 +70,37 @@ def held_out(doc_id: Column | str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(c.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(True))
 
 
-def components(nodes: DataFrame, links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """Least label of each connected component.
 
     nodes: v string, label struct<id long, v string>, unique in v; label.v = v. links: a, b string, each pair once. Returns v, label.
-    Each round takes the least label of the neighbours, combined before the shuffle, then jumps to the label's own label; each is a table in the shared folder.
+    Each round every label that still has a link points to its least neighbour. Of a tree of such pointers only the two labels at its top choose each other, and the lesser of
+    them is the least of the tree, so it becomes the root; pointers are doubled until all lead to roots, and links are rewritten between roots. Each tree holds two labels or more,
+    so the open labels at least halve: log2(n) rounds of log2(depth) doublings whatever the order of labels, each a smaller table in the shared folder.
     """
-    links = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
-    ends = links.select(F.col("a").alias("v")).distinct()
-    now = table = stored(nodes.join(ends, "v").select("v", "label"), "labels")
-    for _ in range(rounds):
-        near = links.join(now.withColumnRenamed("v", "a"), "a").groupBy(F.col("b").alias("v")).agg(F.min("label").alias("near"))
-        least = now.join(near, "v", "left").select("v", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        up = now.select(F.col("v").alias("up"), F.col("label").alias("top"))
-        new = stored(least.join(up, F.col("label.v") == F.col("up"), "left").select("v", "was", F.least("label", "top").alias("label")), "labels")
-        moved = new.where(F.col("was") != F.col("label")).limit(1).count()
-        release(table)
-        now, table = new.select("v", "label"), new
-        if not moved:
-            break
-    else:
-        raise RuntimeError(f"components: not settled in {rounds} rounds")
-    release(links)
-    return nodes.join(now.withColumnRenamed("label", "least"), "v", "left").select("v", F.coalesce("least", "label").alias("label"))
+    end = lambda v, x: nodes.select(F.col("v").alias(v), F.col("label").alias(x))
+    pairs = links.join(end("a", "x"), "a").join(end("b", "y"), "b").select("x", "y")
+    open_ = stored(pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"))), "links")
+    hops = []
+    while open_.limit(1).count():
+        now = stored(open_.groupBy("x").agg(F.min("y").alias("up")), "hooks")
+        first = moved = True
+        while moved:
+            above = now.select(F.col("x").alias("up"), F.col("up").alias("top"))
+            # a label's second ancestor is never greater than itself, so after the first step all but roots point to a lesser label
+            new = stored(now.join(above, "up").select("x", F.col("up").alias("was"), (F.least("up", "top") if first else F.col("top")).alias("up")), "hooks")
+            moved = first or new.where(F.col("was") != F.col("up")).limit(1).count()
+            release(now)
+            now, first = new, False
+        hops.append(now.select("x", "up"))
+        root = lambda c, r, now=now: now.select(F.col("x").alias(c), F.col("up").alias(r))
+        new = stored(open_.join(root("x", "rx"), "x").join(root("y", "ry"), "y").where("rx <> ry").select(F.col("rx").alias("x"), F.col("ry").alias("y")).distinct(), "links")
+        release(open_)
+        open_ = new
+    least = None
+    for hop in reversed(hops):
+        least = hop if least is None else hop.join(least.select(F.col("x").alias("up"), F.col("up").alias("top")), "up", "left").select("x", F.coalesce("top", "up").alias("up"))
+    release(open_)
+    if least is None:
+        return nodes.select("v", "label")
+    return nodes.select("v", "label").join(least.select(F.col("x").alias("label"), "up"), "label", "left").select("v", F.coalesce("up", "label").alias("label"))

@@ -10,6 +10,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from gridloom.llm import bpe, decontam, exact, langid, minhash, phrases, quality, secrets, toxicity
+from gridloom.llm.common import components
 
 rng = random.Random(5)
 WORDS = [f"{a}{b}" for a in "ban cor dil fen gam hop jul kes".split() for b in "a em ist or um yx".split()]
@@ -117,6 +118,20 @@ def test_op4_a_family_around_the_threshold(spark, monkeypatch):
     assert got(minhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")), "*") == want
 
 
+def test_components_of_long_chains(spark):
+    ids, n = list(range(4000)), 3000
+    random.Random(11).shuffle(ids)
+    # one chain of random ids, one of ascending ones, a star, and nodes without links
+    pairs = [*((ids[i], ids[i + 1]) for i in range(n - 1)), *((10_000 + i, 10_001 + i) for i in range(n - 1)), *((20_000, 20_001 + i) for i in range(50))]
+    own = [*ids, *range(10_000, 10_000 + n), *range(20_000, 20_051)]
+    nodes = spark.createDataFrame([(f"n{i}", (i, f"n{i}")) for i in own], "v string, label struct<id: long, v: string>")
+    links = spark.createDataFrame([(f"n{a}", f"n{b}") for a, b in pairs], "a string, b string")
+    least = min(ids[:n])
+    want = [(f"n{i}", least) for i in ids[:n]] + [(f"n{i}", i) for i in ids[n:]] + [(f"n{i}", i // 10_000 * 10_000) for i in own[4000:]]
+    assert sorted((r.v, r.label.id) for r in components(nodes, links).collect()) == sorted(want)
+    assert sorted((r.v, r.label.id) for r in components(nodes, links.limit(0)).collect()) == sorted((f"n{i}", i) for i in own)
+
+
 def test_op7(docs, none):
     groups = {}
     for i, t in DOCS:
