@@ -133,7 +133,9 @@ def _scan_broadcast(docs: DataFrame, items: list[tuple[int, str]], text_col: str
 
 
 def _scan_shuffled(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """For a benchmark of any size: (fingerprint, document) join (fingerprint, item); each pair's words are then compared, and the spans of a document united."""
+    """For a benchmark of any size: (fingerprint, document) join (fingerprint, item); each pair's words are then compared, and the spans of a document united.
+
+    docs: doc_id, text; row too, where the caller has stored one that tells rows apart. Returns row, doc_id, n_words, n_hit, items."""
     words = F.filter(F.split("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), lambda x: x != "")
     lengths = sorted(r[0] for r in benchmark.select(F.size(words).alias("n")).where(f"n between 1 and {SPAN - 1}").distinct().collect())
 
@@ -157,7 +159,7 @@ def _scan_shuffled(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         return run
 
-    d = stored(docs.withColumn("row", F.monotonically_increasing_id()), "docs")
+    d = docs if "row" in docs.columns else stored(docs.withColumn("row", F.monotonically_increasing_id()), "docs")
     b = stored(benchmark.withColumn("row", F.monotonically_increasing_id()), "items")
     pairs = d.select("row", "text").mapInArrow(prints(False), "h long, row long").join(
         b.select("row", "text").mapInArrow(prints(True), "h long, row long").withColumnRenamed("row", "item"), "h"
@@ -187,7 +189,7 @@ def _scan_shuffled(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch["row"], batch["doc_id"], pa.array(n)], names=["row", "doc_id", "n_words"])
 
     counted = d.select("row", "doc_id", "text").mapInArrow(count, "row long, doc_id long, n_words long")
-    return counted.join(n_hit, "row", "left").join(items, "row", "left").select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<long>")).alias("items"))
+    return counted.join(n_hit, "row", "left").join(items, "row", "left").select("row", "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<long>")).alias("items"))
 
 
 def small_benchmark(benchmark: DataFrame, words: int = BROADCAST_WORDS, size: int = BROADCAST_BYTES) -> list[tuple[int, str]] | None:
@@ -209,7 +211,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     d = rows(docs, id_col, text_col)
     b = rows(benchmark, item_col, item_text_col).where("doc_id is not null")
     items = small_benchmark(b, size=broadcast_bytes)
-    return _scan_shuffled(d, b) if items is None else _scan_broadcast(d, items)
+    return _scan_shuffled(d, b).drop("row") if items is None else _scan_broadcast(d, items)
 
 
 def contaminated():
@@ -217,14 +219,15 @@ def contaminated():
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of docs that are not contaminated, with their columns (which must not be named n_words, n_hit or items)."""
+def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The rows of docs that are not contaminated, with their columns (which must not be named n_words, n_hit, items or __row). Each row is judged on its own, whatever its id."""
     b = rows(benchmark, item_col, item_text_col).where("doc_id is not null")
-    items = small_benchmark(b)
+    items = small_benchmark(b, size=broadcast_bytes)
     if items is not None:
         return _scan_broadcast(docs, items, text_col, passed=True).where(~contaminated()).select(docs.columns)
-    bad = _scan_shuffled(rows(docs, id_col, text_col), b).where(contaminated()).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(bad.hint("shuffle_hash"), id_col, "left_anti")
+    d = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    bad = _scan_shuffled(rows(d, id_col, text_col, row="__row"), b).where(contaminated()).select(F.col("row").alias("__row"))
+    return d.join(bad.hint("shuffle_hash"), "__row", "left_anti").select(docs.columns)
 
 
 def verdict(found: DataFrame) -> DataFrame:

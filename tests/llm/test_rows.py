@@ -98,6 +98,16 @@ def test_op3(spark, docs, none, size):
     assert {r.n_hit for r in decontam.decontaminate(docs, items.limit(0), broadcast_bytes=size).collect()} == {0}
 
 
+@pytest.mark.parametrize("size", [10**6, 0])
+def test_clean_judges_rows_not_ids(spark, size):
+    bad, good = f"lead {ITEMS[0][1]} tail", SENTENCES[0]
+    rows = [(None, bad, 1), (None, good, 2), (7, bad, 3), (7, good, 4), (8, good, 5), (8, good, 6), (9, bad, 7), (10, None, 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row int").repartition(3)
+    out = decontam.clean(df, spark.createDataFrame(ITEMS[:2], "item_id long, text string"), broadcast_bytes=size)
+    assert out.columns == df.columns
+    assert got(out, "row") == [(2,), (4,), (5,), (6,), (8,)]
+
+
 def test_op4(docs, none):
     assert got(minhash.near_groups(docs), "doc_id", "n_shingles", "component_id", "kept") == sorted(minhash.brute(DOCS))
     assert minhash.near_groups(none).count() == 0
