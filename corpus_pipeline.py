@@ -29,8 +29,10 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
-    gone = minhash.near_groups(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns)
+    gone = minhash.near_groups(docs, digests=True).where(~F.col("kept")).select("doc_id", "text_sha256").distinct()
+    # an id may repeat with different texts
+    same = (F.col("d.doc_id") == F.col("g.doc_id")) & (F.sha2(F.coalesce("d.text", F.lit("")), 256) == F.col("g.text_sha256"))
+    return docs.alias("d").join(gone.alias("g").hint("shuffle_hash"), same, "left_anti").select(docs.columns)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -79,7 +79,7 @@ def _digest(text: bytes) -> str:
     return tb.digest(normal(text)).hex()
 
 
-def _describe(bands: int, band_rows: int):
+def _describe(bands: int, band_rows: int, passed: list[str]):
     def run(batches):
         for batch in batches:
             n, digests, hashes = [], [], []
@@ -90,7 +90,7 @@ def _describe(bands: int, band_rows: int):
                 hashes.append(band_hashes(signatures(sets, bands * band_rows), bands))
             flat = np.concatenate(hashes) if hashes else np.zeros((0, bands), dtype=np.uint64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, bands, dtype=np.int32)), pa.array(flat.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(digests, pa.string()), lists], names=["doc_id", "n_shingles", "v", "bands"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(digests, pa.string()), lists, *(batch[c] for c in passed)], names=["doc_id", "n_shingles", "v", "bands", *passed])
 
     return run
 
@@ -178,12 +178,12 @@ def _rest(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return stored(blocks.groupBy("band", "k", "l").applyInArrow(_across(percent), "a string, b string"), "rest")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, bands: int = BANDS, band_rows: int = BAND_ROWS) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, bands: int = BANDS, band_rows: int = BAND_ROWS, digests: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable by links), kept (whether it is that one).
 
     Words are runs between ASCII white space, A-Z lower-cased. Two texts are linked if 100 * intersection >= percent * union of their sets. Null texts, and texts without words, are
     linked with nothing. A row with a null id belongs to no group: its component_id is null, and it is kept. Rows that repeat an id share a component if their texts do.
-    An empty table gives none. Other columns are ignored.
+    An empty table gives none. Other columns are ignored. digests: text_sha256 too, which tells rows apart that share an id but not the text.
 
     Plan: one pass over the texts gives each distinct word sequence a digest and its band hashes; copies fold into their least id before any band is shuffled. In each bucket of a
     band, members are compared with one centre (a star, not all pairs); links join components, and only buckets that still hold several components go on, with other
@@ -191,7 +191,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n copies costs n comparisons, and no list of all pairs is ever made. Sets are made again from the texts of candidates only.
     """
     source = rows(docs, id_col, text_col)
-    seen = stored(source.mapInArrow(_describe(bands, band_rows), "doc_id long, n_shingles long, v string, bands array<long>"), "described")
+    passed = ["text_sha256"] if digests else []
+    described = source.withColumns({c: F.sha2("text", 256) for c in passed}).mapInArrow(
+        _describe(bands, band_rows, passed), ", ".join(["doc_id long, n_shingles long, v string, bands array<long>", *(f"{c} string" for c in passed)])
+    )
+    seen = stored(described, "described")
     nodes = stored(seen.where("v is not null and doc_id is not null").groupBy("v").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "nodes")
     every = nodes.select("v", "id", "n", F.explode("bands").alias("band"))
     shared = every.groupBy("band").agg(F.count("*").alias("m")).where("m > 1").select("band", "m")
@@ -231,8 +235,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     release(*[t for t in tables if t is not now])
     label = now.select("v", F.col("label.id").alias("component_id"))
     return (
-        seen.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("v")).alias("v")).join(label, "v", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+        seen.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("v")).alias("v"), *passed).join(label, "v", "left")
+        .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), *passed)
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
 

@@ -5,8 +5,10 @@ import random
 import re
 import zlib
 
+import corpus_pipeline
 import public_tokenizers
 import pytest
+from helpers import SF
 from tokenizers import Tokenizer
 
 from gridloom.llm import bpe, decontam, exact, langid, minhash, phrases, quality, secrets, toxicity
@@ -142,6 +144,15 @@ def test_components_of_long_chains(spark):
     assert sorted((r.v, r.label.id) for r in components(nodes, links.limit(0)).collect()) == sorted((f"n{i}", i) for i in own)
 
 
+def test_near_copies_of_repeated_ids(spark):
+    words = SHARED.split()
+    rows = [(2, " ".join(words)), (5, " ".join([*words, "more"])), (5, SENTENCES[0]), (5, None), (None, SHARED.upper()), (6, SENTENCES[1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = corpus_pipeline.near_copies(spark, df, SF)
+    assert out.columns == df.columns
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted([rows[0], *rows[2:]], key=repr)
+
+
 def test_op7(docs, none):
     groups = {}
     for i, t in DOCS:
