@@ -160,6 +160,7 @@ query("broadcast_nd", lambda s, d: _flat(lo.broadcast_nd(nd(s).where("idx[1] = 0
 top = lambda s, d: emb(s, d, 64)
 _GRAM = "from emb a join emb b on a.x = b.x where a.y < 64 and b.y < 64 group by a.y, b.y"
 query("gemm_gram", lambda s, d: la.gemm(top(s, d), top(s, d), trans_b=True).px.select("y", "x", F.round(F.col("v").cast("double"), 3).alias("v")), f"select a.y, b.y x, round(sum(a.v::double * b.v::double)::float::double, 3) v {_GRAM}")
+query("gemm_gram_columns", lambda s, d: la.gemm(emb(s, d), emb(s, d), trans_a=True).px.select("y", "x", F.round(F.col("v").cast("double"), 3).alias("v")), "select a.x y, b.x, round(sum(a.v::double * b.v::double)::float::double, 3) v from emb a join emb b on a.y = b.y group by a.x, b.x")
 query("gemm_nn", lambda s, d: la.gemm(p1(s, d), lo.transpose(gray(s, d))).px.select("y", "x", F.col("v").cast("double").alias("v")), "select p.y, g.y x, sum(p.v * g.v)::double v from p1 p join gray g on p.x = g.x group by p.y, g.y")
 query("gemm_ta", lambda s, d: la.gemm(p1(s, d), gray(s, d), trans_a=True).px.select("y", "x", F.col("v").cast("double").alias("v")), "select p.x y, g.x, sum(p.v * g.v)::double v from p1 p join gray g on p.y = g.y group by p.x, g.x")
 query("gemm_int8_scaled", lambda s, d: la.gemm(gray(s, d), ar.subtract(p1(s, d).convert_to("16S"), 128).convert_to("8S"), trans_b=True, scales=s.range(32).selectExpr("cast(id as int) j", "(id + 1) / 64.0D s")).px.select("y", "x", F.round(F.col("v").cast("double"), 2).alias("v")), "select g.y, p.y x, round((sum(g.v * (p.v - 128)) * ((p.y + 1) / 64.0::double))::float::double, 2) v from gray g join p1 p on g.x = p.x group by g.y, p.y")

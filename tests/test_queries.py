@@ -16,6 +16,10 @@ def test_query(spark, duck, name):
     same(registry.QUERIES[name](spark, SF), duck, registry.SQL[name])
 
 
+def test_gram_of_all_rows(spark, duck):
+    same(registry.QUERIES["gemm_gram_columns"](spark, SF), duck, registry.SQL["gemm_gram_columns"])
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
