@@ -1,7 +1,7 @@
 """Byte-pair tokens: counts by a heap over a linked list, and encoding by batched numpy merge rounds.
 
 A vocabulary file is read once on the driver; its tables (bounded by the vocabulary) go to the executors. A text is cut at white space into units that no token crosses; what
-became of a unit is kept in a cache of bounded size, in two generations.
+became of a unit of common length is kept in a cache bounded by bytes, in two generations. Longer units are cut where two bytes meet that stand side by side in no token.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import heapq
 import json
 import re
 import unicodedata
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +21,10 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import rows
 
-#: Units in one generation of a worker's cache.
-CACHE = 250_000
+#: Bytes in one generation of a worker's cache, counting so many for an entry besides its content; characters of a unit that may be kept.
+CACHE_BYTES, ENTRY_BYTES, UNIT = 32 << 20, 160, 64
+#: Symbols that merge rounds work on at once.
+ROUND = 1 << 16
 #: White space as Unicode has it; Python's own adds U+001C to U+001F.
 WS = "\t-\r \x85\xa0  -     　"
 
@@ -52,18 +55,26 @@ class Vocabulary:
         back = {c: b for b, c in enumerate(chars)}
         self.bytes = {i: bytes(back[c] for c in t) if not suffix else b"" for t, i in vocab.items()}
         self.bytes |= {i: t.encode() for t, i in self.special.items()}
+        # whether two bytes stand side by side in some token: merges cross no other places
+        self.joined = np.zeros((256, 256), dtype=bool)
+        for t in vocab:
+            if t not in self.special:
+                own = [back[c] for c in t.removesuffix(suffix)]
+                self.joined[own[:-1], own[1:]] = True
         self.special_at = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
 
 
 def merged_count(symbols: list[int], rank: dict[int, int], made: list[int], size: int) -> int:
     """How many symbols are left: pop the lowest-rank adjacent pair (leftmost of equals) until none is left. Nothing is emitted: the count is the symbols less the merges."""
     n = len(symbols)
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    heap = [(r, i) for i in range(n - 1) if (r := rank.get(symbols[i] * size + symbols[i + 1])) is not None]
+    links = list if n < ROUND else lambda x: array("q", x)
+    symbols, after, before = links(symbols), links(range(1, n + 1)), links(range(-1, n - 1))
+    # an entry is rank * n + place
+    heap = [r * n + i for i in range(n - 1) if (r := rank.get(symbols[i] * size + symbols[i + 1])) is not None]
     heapq.heapify(heap)
     left = n
     while heap:
-        r, i = heapq.heappop(heap)
+        r, i = divmod(heapq.heappop(heap), n)
         j = after[i]
         if symbols[i] < 0 or j >= n or rank.get(symbols[i] * size + symbols[j]) != r:
             continue
@@ -73,10 +84,10 @@ def merged_count(symbols: list[int], rank: dict[int, int], made: list[int], size
         if k < n:
             before[k] = i
             if (x := rank.get(symbols[i] * size + symbols[k])) is not None:
-                heapq.heappush(heap, (x, i))
+                heapq.heappush(heap, x * n + i)
         h = before[i]
         if h >= 0 and (x := rank.get(symbols[h] * size + symbols[i])) is not None:
-            heapq.heappush(heap, (x, h))
+            heapq.heappush(heap, x * n + h)
     return left
 
 
@@ -88,36 +99,49 @@ class Counts(dict):
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
-        self.v, self.old, self.pieces = vocabulary, {}, {}
+        self.v, self.old, self.pieces, self.used, self.pieces_used = vocabulary, {}, {}, 0, 0
 
     def __missing__(self, unit: str) -> int:
+        if len(unit) > UNIT:
+            return self._count(unit)
         n = self.old.get(unit)
         if n is None:
             n = self._count(unit)
-        if len(self) >= CACHE:
-            self.old = dict(self)
+        if self.used > CACHE_BYTES:
+            self.old, self.used = dict(self), 0
             self.clear()
         self[unit] = n
+        self.used += ENTRY_BYTES + len(unit)
         return n
 
     def _count(self, unit: str) -> int:
         v = self.v
-        if "<" in unit and (found := v.special_at.findall(unit)):
-            return len(found) + sum(self[x] for x in v.special_at.split(unit) if x)
+        if "<" in unit and v.special_at.search(unit):
+            n, at = 0, 0
+            for m in v.special_at.finditer(unit):
+                n += 1 + (self[unit[at : m.start()]] if at < m.start() else 0)
+                at = m.end()
+            return n + (self[unit[at:]] if at < len(unit) else 0)
         # characters are lower-cased one by one: a final sigma is as any other
         plain = unit.lower() if unit.isascii() else "".join(c.lower() for c in unicodedata.normalize("NFC", unit))
-        return sum(map(self._piece, self.PIECES.findall(plain)))
+        return sum(self._piece(m[0]) for m in self.PIECES.finditer(plain)) if len(unit) > UNIT else sum(map(self._piece, self.PIECES.findall(plain)))
 
     def _piece(self, piece: str) -> int:
         n = self.pieces.get(piece)
         if n is None:
-            data = piece.encode()
-            symbols = [self.v.first[b] for b in data]
-            symbols[-1] = self.v.last[data[-1]]
-            n = merged_count(symbols, self.v.rank, self.v.made, self.v.size)
-            if len(self.pieces) >= CACHE:
+            v, data = self.v, piece.encode()
+            symbols = [v.first[b] for b in data]
+            symbols[-1] = v.last[data[-1]]
+            if len(piece) > UNIT:
+                b = np.frombuffer(data, dtype=np.uint8)
+                cuts = [0, *(np.flatnonzero(~v.joined[b[:-1], b[1:]]) + 1).tolist(), len(b)]
+                return sum(merged_count(symbols[i:j], v.rank, v.made, v.size) for i, j in zip(cuts, cuts[1:], strict=False))
+            n = merged_count(symbols, v.rank, v.made, v.size)
+            if self.pieces_used > CACHE_BYTES:
                 self.pieces.clear()
+                self.pieces_used = 0
             self.pieces[piece] = n
+            self.pieces_used += ENTRY_BYTES + len(piece)
         return n
 
     def tokens(self, text: str) -> int:
@@ -129,7 +153,7 @@ def merge_rounds(flat: np.ndarray, ends: np.ndarray, keys: np.ndarray, ranks: np
     the places of its lowest rank, left to right. Returns the ids and each word's number of them; words without a pair leave the rounds."""
     words = np.arange(len(ends))
     counts = np.diff(np.concatenate(([0], ends)))
-    out: list[np.ndarray] = [np.zeros(0, dtype=np.int64)] * len(ends)
+    over_flat, over_words, over_counts = [flat[:0]], [words[:0]], [counts[:0]]
     none = np.iinfo(np.int64).max
     while len(words):
         starts = np.concatenate(([0], np.cumsum(counts)[:-1]))
@@ -140,25 +164,35 @@ def merge_rounds(flat: np.ndarray, ends: np.ndarray, keys: np.ndarray, ranks: np
         rank = np.where(keys[at] == key, ranks[at], none)
         least = np.minimum.reduceat(rank, starts)
         over = least == none
-        for i in np.flatnonzero(over).tolist():
-            out[words[i]] = flat[starts[i] : starts[i] + counts[i]]
-        live = np.repeat(~over, counts)
-        if not live.any():
-            break
-        hit = (rank == np.repeat(least, counts)) & live
+        if over.any():
+            live = np.repeat(~over, counts)
+            over_flat.append(flat[~live])
+            over_words.append(words[over])
+            over_counts.append(counts[over])
+            flat, rank = flat[live], rank[live]
+            words, counts, least = words[~over], counts[~over], least[~over]
+            if not len(words):
+                break
+            starts = np.concatenate(([0], np.cumsum(counts)[:-1]))
+        hit = rank == np.repeat(least, counts)
         # of places side by side (a a a) every second one, from the left
-        idx = np.arange(len(hit))
-        begin = hit.copy()
-        begin[1:] &= ~hit[:-1]
-        hit &= (idx - np.maximum.accumulate(np.where(begin, idx, 0))) % 2 == 0
+        if (hit[1:] & hit[:-1]).any():
+            idx = np.arange(len(hit))
+            begin = hit.copy()
+            begin[1:] &= ~hit[:-1]
+            hit &= (idx - np.maximum.accumulate(np.where(begin, idx, 0))) % 2 == 0
         flat = flat.copy()
         flat[hit] = made[rank[hit]]
-        keep = live
-        keep[1:] &= ~hit[:-1]
-        cut = np.add.reduceat(hit.astype(np.int64), starts)
+        keep = np.ones(len(flat), dtype=bool)
+        keep[1:] = ~hit[:-1]
+        counts = counts - np.add.reduceat(hit.astype(np.int64), starts)
         flat = flat[keep]
-        words, counts = words[~over], (counts - cut)[~over]
-    return np.concatenate(out) if out else np.zeros(0, dtype=np.int64), np.array([len(o) for o in out], dtype=np.int64)
+    # back to the order of the words
+    words, counts, flat = np.concatenate(over_words), np.concatenate(over_counts), np.concatenate(over_flat)
+    order = np.argsort(words)
+    starts = (np.cumsum(counts) - counts)[order]
+    counts = counts[order]
+    return flat[np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(len(flat))], counts
 
 
 class Encoder:
@@ -175,49 +209,80 @@ class Encoder:
         self.made = np.array(vocabulary.made)
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-
-    def _learn(self, units: list[str]) -> None:
-        """Puts units into the cache, all new ones in one run of rounds."""
-        new = []
+        self.used = 0
+
+    def _ids(self, pieces: list[str]) -> tuple[bytes, np.ndarray]:
+        """(ids of all pieces, where each piece's end), in runs of rounds over about ROUND symbols."""
+        data = [p.encode() for p in pieces]
+        ends = np.cumsum([len(d) for d in data])
+        flat = np.frombuffer(b"".join(data), dtype=np.uint8)
+        cut = np.append(~self.v.joined[flat[:-1], flat[1:]], True)
+        cut[ends - 1] = True
+        upto = np.flatnonzero(cut) + 1
+        last = np.searchsorted(upto, ends)
+        out, counts, at, w = [], [], 0, 0
+        while w < len(upto):
+            x = max(w + 1, int(np.searchsorted(upto, at + ROUND, side="right")))
+            ids, n = merge_rounds(self.first[flat[at : upto[x - 1]]], upto[w:x] - at, self.keys, self.ranks, self.made, self.v.size)
+            out.append(ids.astype("<u4"))
+            counts.append(n)
+            w, at = x, int(upto[x - 1])
+        return np.concatenate(out).tobytes(), 4 * np.cumsum(np.concatenate(counts))[last]
+
+    def _learn(self, units: list[str]) -> dict[str, bytes]:
+        """Ids of units that the cache doesn't have; those of common length are put there."""
+        pieces, upto = [], [0]
         for u in units:
-            if (b := self.old.get(u)) is not None:
-                self.cache[u] = b
+            if u[-1].isspace():
+                pieces.append(u)
             else:
-                new.append(u)
-        if not new:
-            return
-        pieces = [self.PIECES.findall(u) if not u[-1].isspace() else [u] for u in new]
-        data = [p.encode() for ps in pieces for p in ps]
-        flat = self.first[np.frombuffer(b"".join(data), dtype=np.uint8)]
-        ids, counts = merge_rounds(flat, np.cumsum([len(d) for d in data]), self.keys, self.ranks, self.made, self.v.size)
-        raw, upto = ids.astype("<u4").tobytes(), np.concatenate(([0], 4 * np.cumsum(counts)))
-        bounds = upto[np.concatenate(([0], np.cumsum([len(ps) for ps in pieces])))].tolist()
-        for u, i, j in zip(new, bounds, bounds[1:], strict=False):
-            self.cache[u] = raw[i:j]
+                pieces += self.PIECES.findall(u)
+            upto.append(len(pieces))
+        raw, ends = self._ids(pieces)
+        bounds = np.concatenate(([0], ends))[upto].tolist()
+        out = {u: raw[i:j] for u, i, j in zip(units, bounds, bounds[1:], strict=False)}
+        for u, b in out.items():
+            if len(u) <= UNIT:
+                self.cache[u] = b
+                self.used += ENTRY_BYTES + len(u) + len(b)
+        return out
+
+    def _split(self, text: str) -> list:
+        """Units, and the ids of special strings as bytes."""
+        if not any(s in text for s in self.v.special):
+            return self.UNITS.findall(text)
+        units, at = [], 0
+        for m in self.v.special_at.finditer(text):
+            units += self.UNITS.findall(text[at : m.start()])
+            units.append(self.v.special[m[0]].to_bytes(4, "little"))
+            at = m.end()
+        return units + self.UNITS.findall(text[at:])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Some texts at once (of a bounded size together, or one)."""
-        parts: list[list] = []
-        for text in texts:
-            units: list = []
-            if any(s in text for s in self.v.special):
-                at = 0
-                for m in self.v.special_at.finditer(text):
-                    units += self.UNITS.findall(text[at : m.start()])
-                    units.append(self.v.special[m[0]].to_bytes(4, "little"))
-                    at = m.end()
-                units += self.UNITS.findall(text[at:])
-            else:
-                units = self.UNITS.findall(text)
-            parts.append(units)
-        if len(self.cache) > CACHE:
-            self.old, self.cache = self.cache, {}
+        parts = [self._split(t) for t in texts]
+        if self.used > CACHE_BYTES:
+            self.old, self.cache, self.used = self.cache, {}, 0
         seen = set()
-        for units in parts:
-            seen.update(units)
-        self._learn([u for u in seen if isinstance(u, str) and u not in self.cache])
-        get = self.cache.__getitem__
-        return [b"".join([u if isinstance(u, bytes) else get(u) for u in units] if any(s in t for s in self.v.special) else map(get, units)) for t, units in zip(texts, parts, strict=True)]
+        seen.update(*parts)
+        known, new = {}, []
+        for u in seen:
+            if u in self.cache:
+                continue
+            if isinstance(u, bytes):
+                known[u] = u
+            elif (b := self.old.get(u)) is not None:
+                self.cache[u] = b
+                self.used += ENTRY_BYTES + len(u) + len(b)
+            else:
+                new.append(u)
+        if new:
+            for u, b in self._learn(new).items():
+                if len(u) > UNIT:
+                    known[u] = b
+        if not known:
+            return [b"".join(map(self.cache.__getitem__, units)) for units in parts]
+        return [b"".join([self.cache[u] if u in self.cache else known[u] for u in units]) for units in parts]
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.v.bytes.__getitem__, np.frombuffer(ids, dtype="<u4").tolist())).decode("utf-8", "replace")

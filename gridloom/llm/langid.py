@@ -9,13 +9,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from gridloom.llm import textblocks as tb
-from gridloom.llm.common import held_out, rows
+from gridloom.llm.common import fresh, held_out, rows
 from gridloom.llm.sampling import labelled
 
-#: Weights for affixes and n-grams; words in a language's lexicon; words in one chain.
-BUCKET_BITS, LEXICON, CHAIN = 16, 1000, 64
+#: Weights for affixes and n-grams; words in a language's lexicon; words in one chain of the training text, and in one piece of a document's chain.
+BUCKET_BITS, LEXICON, CHAIN, PIECE = 16, 1000, 64, 64
 GRAMS, AFFIXES = (2, 3, 4), (1, 2, 3)
 ROWS, BYTES = 2000, 8_000_000
 BATCH, EPOCHS, RATE = 256, 2, 0.3
@@ -98,14 +99,19 @@ class Field:
                 out[:, label] += table[a]
         return out
 
-    def marginals(self, scores: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """scores: (chain, place, label), lengths: of the chains, longest first. Forward-backward: (marginals, expected pairs)."""
+    def marginals(self, scores: np.ndarray, lengths: np.ndarray, head: np.ndarray | None = None, tail: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """scores: (chain, place, label), lengths: of the chains, longest first. Forward-backward: (marginals, expected pairs).
+
+        head, tail: (chain, label), what comes into a chain's first place from before it, and into its last one from behind it."""
         chains, places, n = scores.shape
         e = np.exp(scores - scores.max(axis=2, keepdims=True))
         step = np.exp(self.move - self.move.max())
         live = [int(np.searchsorted(-lengths, -t, side="left")) for t in range(places)]  # chains longer than t
         alpha = np.empty_like(e)
         beta = np.ones_like(e)
+        if head is not None:
+            e[:, 0] *= head
+            beta[np.arange(chains), lengths - 1] = tail
         alpha[:, 0] = e[:, 0] / e[:, 0].sum(axis=1, keepdims=True)
         for t in range(1, places):
             k = live[t]
@@ -125,22 +131,57 @@ class Field:
             gamma[live[t] :, t] = 0
         return gamma / np.maximum(gamma.sum(axis=2, keepdims=True), 1e-300), pairs
 
+    def ends(self, scores: np.ndarray, lengths: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of pieces of longer chains: (head, tail), as marginals() takes them. number: of each piece in its chain, 0 for the first; a chain's pieces follow one another.
+
+        A piece as a whole is one matrix, the product of its places' matrices; vectors go from piece to piece by it, forward and backward, so that no piece is judged alone."""
+        pieces, places, n = scores.shape
+        step = np.exp(self.move - self.move.max())
+        head, tail = np.ones((pieces, n)), np.ones((pieces, n))
+        more = np.append(number[1:] > 0, False)
+        own = np.flatnonzero(more | (number > 0))
+        if not len(own):
+            return head, tail
+        order = own[np.argsort(-lengths[own], kind="stable")]
+        e = np.exp(scores[order] - scores[order].max(axis=2, keepdims=True))
+        whole = np.where((number[order] == 0)[:, None, None], np.eye(n), step) * e[:, :1]
+        for t in range(1, places):
+            k = int(np.searchsorted(-lengths[order], -t, side="left"))
+            m = (whole[:k] @ step) * e[:k, t, None]
+            whole[:k] = m / m.max(axis=(1, 2), keepdims=True)
+        at = np.zeros(pieces, dtype=np.int64)
+        at[order] = np.arange(len(order))
+        last = np.ones((pieces, n))
+        by = own[np.argsort(number[own], kind="stable")]
+        turns = np.split(by, np.flatnonzero(np.diff(number[by])) + 1)
+        for turn in turns:
+            if number[turn[0]] > 0:
+                head[turn] = last[turn - 1] @ step
+            v = (last[turn - 1 if number[turn[0]] > 0 else turn][:, None, :] @ whole[at[turn]])[:, 0]
+            last[turn] = v / v.sum(axis=1, keepdims=True)
+        for turn in reversed(turns[1:]):
+            v = (whole[at[turn]] @ tail[turn][:, :, None])[:, :, 0]
+            tail[turn - 1] = v / v.sum(axis=1, keepdims=True)
+        return head, tail
+
     def label_words(self, w: Words) -> np.ndarray:
-        """Marginals (word, label). A document's words form chains of CHAIN."""
+        """Marginals (word, label). The words of a document form one chain, of any length; its pieces of PIECE words are worked on side by side."""
         scores = self.emissions(w, self.owners(w))
         if not w.n:
             return scores
         doc = tb.doc_of(w.bounds)
-        place = (np.arange(w.n) - w.bounds[doc]) % CHAIN
+        of = np.arange(w.n) - w.bounds[doc]
+        place = of % PIECE
         first = np.flatnonzero(place == 0)
         lengths = np.diff(np.append(first, w.n))
+        padded = np.zeros((len(first), PIECE, len(self.labels)))
+        piece = np.repeat(np.arange(len(first)), lengths)
+        padded[piece, place] = scores
+        head, tail = self.ends(padded, lengths, of[first] // PIECE)
         order = np.argsort(-lengths, kind="stable")
-        rank = np.empty_like(order)
-        rank[order] = np.arange(len(order))
-        chain = np.repeat(rank, lengths)
-        padded = np.zeros((len(first), CHAIN, len(self.labels)))
-        padded[chain, place] = scores
-        return self.marginals(padded, lengths[order])[0][chain, place]
+        out = np.empty_like(padded)
+        out[order] = self.marginals(padded[order], lengths[order], head[order], tail[order])[0]
+        return out[piece, place]
 
 
 def train(samples: list[tuple[str, str]], seed: int = 11) -> Field:
@@ -225,18 +266,34 @@ def _languages(field: Field, block: tb.Block) -> tuple[list[str], np.ndarray]:
     return names, np.clip(score, 0, 1)
 
 
-def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", passed: bool = False, n_rows: int = ROWS, n_bytes: int = BYTES) -> DataFrame:
-    """doc_id, held_out, lang_pred, score: the language of most of a text's words, and the mean marginal of its words for it. passed: all columns of docs, and __lang and __score.
+def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", n_rows: int = ROWS, n_bytes: int = BYTES) -> DataFrame:
+    """doc_id, held_out, lang_pred, score: the language of most of a text's words, and the mean marginal of its words for it.
 
     Learns from text and lang of at most n_rows rows and n_bytes that are not held out (see sampling.labelled); predicts from whole texts alone. `und`, with score 0, where a
     text is null or has no letter, or where no row has a language to learn. Languages that tie: the first by name. Each row is judged alone, so ids may repeat or be null (null:
     held out). An empty table gives none. Other columns don't matter. One pass, no shuffle of texts; the model's size is fixed for each language.
     """
     d = rows(docs, id_col, text_col, lang=lang_col)
+    return _judged(d.select("doc_id", held_out().alias("held_out"), "text"), "text", _learned(d, n_rows, n_bytes), "lang_pred", "score", passed=False)
+
+
+def of_a_language(docs: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", n_rows: int = ROWS, n_bytes: int = BYTES) -> DataFrame:
+    """The rows of docs, with their columns, whose text has a language with a score of at least `least` (see languages). Columns of docs may have any name."""
+    field = _learned(rows(docs, id_col, text_col, lang=lang_col), n_rows, n_bytes)
+    lang, score = fresh(docs, "lang_pred"), fresh(docs, "score")
+    found = _judged(docs, text_col, field, lang, score)
+    return found.where((found[lang] != "und") & (found[score] >= least)).drop(lang, score)
+
+
+def _learned(d: DataFrame, n_rows: int, n_bytes: int) -> Field:
     spoken = d.groupBy("doc_id").agg(F.min("lang").alias("label"))
-    field = train([(t, str(y)) for t, y in labelled(d.select("doc_id", "text"), spoken, n_rows, n_bytes)])
+    return train([(t, str(y)) for t, y in labelled(d.select("doc_id", "text"), spoken, n_rows, n_bytes)])
+
+
+def _judged(docs: DataFrame, at: str, field: Field, lang: str, score: str, passed: bool = True) -> DataFrame:
+    """docs with two columns more, without the text unless it is passed on; null text: empty."""
+    rest = [f for f in docs.schema.fields if passed or f.name != at]
     shared = docs.sparkSession.sparkContext.broadcast(field)
-    source, at = (docs, text_col) if passed else (d.select("doc_id", held_out().alias("held_out"), "text"), "text")
 
     def run(batches):
         for batch in batches:
@@ -245,13 +302,10 @@ def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
                 got, s = _languages(shared.value, b)
                 names += got
                 scores.append(s)
-            found = [pa.array(names, pa.string()), pa.array(np.concatenate(scores))]
-            rest = [(c, n) for c, n in zip(batch.columns, batch.schema.names, strict=True) if passed or n != at]
-            yield pa.RecordBatch.from_arrays([*(c for c, _ in rest), *found], names=[*(n for _, n in rest), "__lang", "__score"])
+            own = [batch.columns[i] for i, n in enumerate(batch.schema.names) if passed or n != at]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(names, pa.string()), pa.array(np.concatenate(scores))], names=[*(f.name for f in rest), lang, score])
 
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if passed or f.name != at]
-    out = source.mapInArrow(run, ", ".join([*kinds, "__lang string", "__score double"]))
-    return out if passed else out.select("doc_id", "held_out", F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
+    return docs.mapInArrow(run, StructType([*rest, StructField(lang, StringType()), StructField(score, DoubleType())]))
 
 
 def op6_language(spark, sf_dir):
