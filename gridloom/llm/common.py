@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 
@@ -12,15 +13,20 @@ from pyspark.sql import functions as F
 
 from gridloom.shipping import ship
 
+#: Bytes of one Arrow batch of whole rows, beyond its first row: what a Python worker holds at once.
+BATCH_BYTES = 4 << 20
+
 _mine: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir. Only where it is unset (tests on one machine), a new one."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a new one if driver and executors are one process (tests); on a cluster that is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = spark.sparkContext.getCheckpointDir()
     if not at:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='gridloom-')}"
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -57,9 +63,38 @@ def release(*tables: DataFrame) -> None:
             _mine.pop(path, None)
 
 
+@contextlib.contextmanager
+def scratch(*kept: DataFrame):
+    """Deletes, at its end, the tables that stored() has made inside, but for those appended to the list it gives: nothing made inside may be read later."""
+    before, spared = set(_mine), list(kept)
+    try:
+        yield spared
+    finally:
+        keep = before | {getattr(t, "_table", None) for t in spared}
+        for path in [p for p in _mine if p not in keep]:
+            with contextlib.suppress(Exception):
+                drop(_mine.pop(path), path)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have (names differ by case in no column of Spark's)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches end by bytes, not by 10,000 rows of any length, unless the session has a bound of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b":
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more: str | Column) -> DataFrame:
-    """doc_id, text and what is named in more; all other columns are dropped, so their names can't clash. Null text: empty."""
+    """doc_id, text and what is named in more; all other columns are dropped, so their names can't clash. Null text: empty. Ids are integers: the id is cast to long."""
     ship(df.sparkSession)
+    bound_batches(df.sparkSession)
     extra = [(F.col(f"`{c}`") if isinstance(c, str) else c).alias(name) for name, c in more.items()]
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"), *extra)
 
@@ -73,13 +108,13 @@ def held_out(doc_id: Column | str = "doc_id") -> Column:
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """Least label of each connected component.
 
-    nodes: v string, label struct<id long, v string>, unique in v; label.v = v. links: a, b string, each pair once. Returns v, label.
+    nodes: v string, label struct<id long, v string>, unique in v: of each node by itself, or as an earlier call gave them for other links. links: a, b string. Returns v, label.
     Each round every label that still has a link points to its least neighbour. Of a tree of such pointers only the two labels at its top choose each other, and the lesser of
     them is the least of the tree, so it becomes the root; pointers are doubled until all lead to roots, and links are rewritten between roots. Each tree holds two labels or more,
     so the open labels at least halve: log2(n) rounds of log2(depth) doublings whatever the order of labels, each a smaller table in the shared folder.
     """
     end = lambda v, x: nodes.select(F.col("v").alias(v), F.col("label").alias(x))
-    pairs = links.join(end("a", "x"), "a").join(end("b", "y"), "b").select("x", "y")
+    pairs = links.join(end("a", "x"), "a").join(end("b", "y"), "b").select("x", "y").where("x <> y").distinct()
     open_ = stored(pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"))), "links")
     hops = []
     while open_.limit(1).count():

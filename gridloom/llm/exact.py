@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import rows, stored
+from gridloom.llm.common import fresh, rows, stored
 
 #: A digest with more than this share of the rows is sure to be among the Misra-Gries counters, of which there are 1 / SUPPORT at most.
 SUPPORT = 1 / 2048
@@ -26,13 +26,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     digests = stored(rows(docs, id_col, text_col).select("doc_id", F.monotonically_increasing_id().alias("row"), F.sha2("text", 256).alias("digest")), "digests")
     last = F.max(F.struct("doc_id", "row")).alias("last")
-    total = digests.agg(F.count("*").alias("total"))
+    total = digests.count()
     often = digests.stat.freqItems(["digest"], support).select(F.explode("digest_freqItems").alias("digest"))
     winners = (
         digests.join(F.broadcast(often), "digest", "left_semi")
         .groupBy("digest")
         .agg(last, F.count("*").alias("n"))
-        .join(F.broadcast(total), F.col("n") >= support * F.col("total"))
+        .where(F.col("n") >= support * total)
         .select("digest", F.col("last").alias("w_last"), F.col("n").alias("w_n"))
     )
     split = digests.join(F.broadcast(stored(winners, "winners")), "digest", "left")
@@ -43,16 +43,19 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with their columns: one of each group of equal texts."""
+    """The rows of docs that stay, with their columns: one of each group of equal texts, null being empty.
+
+    The row of the largest id stays; of rows that repeat that id (or have no id) and the text, one. Columns of docs may have any name. An empty table gives none.
+    """
     groups = stored(exact_groups(docs, id_col, text_col), "groups")
-    gone = groups.where("not kept and (doc_id <> keep_id or doc_id is null)").select("doc_id", "text_sha256").distinct()
-    key = F.sha2(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), 256)
-    same = key.eqNullSafe(F.col("g.text_sha256")) & F.col(f"d.`{id_col}`").cast("long").eqNullSafe(F.col("g.doc_id"))
-    out = docs.alias("d").join(gone.alias("g").hint("shuffle_hash"), same, "left_anti")
-    # rows that repeat the id and the text that stay
-    if groups.where("not kept and doc_id = keep_id").limit(1).count():
-        out = out.dropDuplicates([id_col, text_col])
-    return out.select(docs.columns)
+    gone = stored(groups.where("not kept and not doc_id <=> keep_id").select("doc_id", "text_sha256").distinct(), "gone")
+    i, t = fresh(docs, "id"), fresh(docs, "digest")
+    keyed = docs.withColumns({i: F.col(f"`{id_col}`").cast("long"), t: F.sha2(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), 256)})
+    same = keyed[t].eqNullSafe(gone["text_sha256"]) & keyed[i].eqNullSafe(gone["doc_id"])
+    out = keyed.join(gone, same, "left_anti")
+    if groups.where("not kept and doc_id <=> keep_id").limit(1).count():
+        out = out.dropDuplicates([i, t])
+    return out.drop(i, t)
 
 
 def op7_exact_dedup(spark, sf_dir):
