@@ -9,17 +9,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from gridloom.llm import textblocks as tb
-from gridloom.llm.common import components, release, rows, stored
+from gridloom.llm.common import components, rows, scratch, stored
 
 SHINGLE = 5
 #: At a similarity of 0.85 a pair misses all bands with a chance of (1 - 0.85 ** 4) ** 20 = 4e-7.
 BANDS, BAND_ROWS = 20, 4
 #: Stars around this many centres of a bucket are tried before the rest of it.
 STARS = 3
-#: Outsiders and members of a bucket that meet in one task.
-OUTSIDERS, MEMBERS = 256, 1024
+#: Outsiders and members that meet in one task, and about how many bytes of either.
+OUTSIDERS, MEMBERS, BLOCK_BYTES = 256, 1024, 4 << 20
+#: Slots of the table of how often shingles occur.
+SLOT_BITS = 18
 _STEP = np.uint64(0xD1B54A32D192ED03)
 _PI = np.uint64(0xA0761D6478BD642F)
 _CHUNK = 1 << 15
@@ -158,51 +161,84 @@ def _across(percent: int):
     return run
 
 
+def _slots(batches):
+    """How many of the sets have a shingle in each slot, as far as this task has seen."""
+    n = np.zeros(1 << SLOT_BITS, dtype=np.int64)
+    for batch in batches:
+        for x in batch["shingles"]:
+            own = np.frombuffer(x.as_buffer(), dtype=np.uint64) >> np.uint64(64 - SLOT_BITS)
+            n += np.bincount(own.astype(np.int64), minlength=len(n))
+    at = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["slot", "n"])
+
+
+def _prefixes(percent: int, shared):
+    """(shingle, v, label, bytes): of each set, those shingles of which two sets that are similar enough must have one in common."""
+
+    def run(batches):
+        often = shared.value
+        for batch in batches:
+            rare, owner = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
+            sizes = []
+            for i, x in enumerate(batch["shingles"]):
+                x = np.frombuffer(x.as_buffer(), dtype=np.uint64)
+                n = often[(x >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
+                first = np.lexsort((x, n))[: len(x) + percent * len(x) // -100 + 1]
+                first = first[n[first] > 1]
+                rare.append(x[first])
+                owner.append(np.full(len(first), i))
+                sizes.append(x.nbytes)
+            of = pa.array(np.concatenate(owner))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rare).view(np.int64)), batch["v"].take(of), batch["label"].take(of), pa.array(sizes, pa.int64()).take(of)], names=["token", "v", "label", "bytes"])
+
+    return run
+
+
 def _rest(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """members: band, v, label of buckets with several components. All links between components that share a bucket, or as many as join them.
+    """members: v, label of those in buckets with several components. All links between their components, or as many as join them.
 
-    In a bucket, whoever is not of its largest component is an outsider, and is compared with all members. Outsiders and members are dealt out in blocks, a task for each
-    pair of blocks, so a task's size is bounded and what a task sends on is less than its rows.
+    Not all pairs of a bucket: by prefix filtering. In an order by how often they occur, rarest first, two similar sets share one of their first n - ceil(percent * n) + 1 shingles.
+    The order comes from a table of 1 << SLOT_BITS counts, whatever the input; it is the same everywhere, so the filter is exact, and a passage that all members share is
+    in few prefixes. Of those who share such a shingle, whoever is not of their largest component is an outsider, and is compared with all. Outsiders and members are dealt
+    out in blocks bounded by number and bytes, a task for each pair of blocks, and what a task sends on is less than its rows.
     """
-    counts = members.groupBy("band", "label").agg(F.count("*").alias("n"))
-    size = counts.groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("main"), (F.sum("n") - F.max("n")).alias("others"), F.sum("n").alias("all"))
-    m = members.select("band", "v", "label").join(size, "band").withColumns({
-        "outsider": F.col("label") != F.col("main"), "ks": F.ceil(F.col("others") / OUTSIDERS).cast("int"), "ls": F.ceil(F.col("all") / MEMBERS).cast("int"),
-    })
+    inside = stored(members.select("v", "label").distinct().join(sets, "v"), "inside")
+    counts = np.zeros(1 << SLOT_BITS, dtype=np.int64)
+    for r in inside.select("shingles").mapInArrow(_slots, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1").toLocalIterator():
+        counts[r["slot"]] = r["n"]
+    shared = members.sparkSession.sparkContext.broadcast(counts)
+    tokens = stored(inside.mapInArrow(_prefixes(percent, shared), StructType([StructField("token", LongType()), *inside.select("v", "label").schema.fields, StructField("bytes", LongType())])), "tokens")
+    mixed = stored(tokens.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token"), "mixed")
+    tokens = tokens.join(mixed, "token")
+    size = tokens.groupBy("token", "label").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).groupBy("token").agg(
+        F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("all"), F.sum("bytes").alias("all_bytes"), F.max_by("bytes", F.struct("n", "label")).alias("main_bytes"), F.max("n").alias("main_n"),
+    )
+    blocks_of = lambda n, most, size: F.ceil(F.greatest(n / most, size / BLOCK_BYTES)).cast("int")
+    size = stored(size.select(
+        "token", "main", blocks_of(F.col("all") - F.col("main_n"), OUTSIDERS, F.col("all_bytes") - F.col("main_bytes")).alias("ks"), blocks_of(F.col("all"), MEMBERS, F.col("all_bytes")).alias("ls")
+    ), "sizes")
+    m = tokens.select("token", "v", "label").join(size, "token").withColumn("outsider", F.col("label") != F.col("main"))
     spread = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     own = lambda n, seed: F.pmod(F.xxhash64("v", F.lit(seed)), F.col(n)).cast("int")
     # each member to its block, against all blocks of outsiders; each outsider, as such, to its block, against all blocks of members
-    all_ = m.select("band", "v", "label", F.lit(False).alias("outsider"), F.explode(spread("ks")).alias("k"), own("ls", 1).alias("l"))
-    out = m.where("outsider").select("band", "v", "label", F.lit(True).alias("outsider"), own("ks", 2).alias("k"), F.explode(spread("ls")).alias("l"))
-    blocks = all_.unionByName(out).select("band", "k", "l", "v", F.col("label.v").alias("comp"), "outsider").join(sets, "v")
-    return stored(blocks.groupBy("band", "k", "l").applyInArrow(_across(percent), "a string, b string"), "rest")
-
-
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, bands: int = BANDS, band_rows: int = BAND_ROWS, digests: bool = False) -> DataFrame:
-    """doc_id, n_shingles, component_id (least doc_id reachable by links), kept (whether it is that one).
+    all_ = m.select("token", "v", "label", F.lit(False).alias("outsider"), F.explode(spread("ks")).alias("k"), own("ls", 1).alias("l"))
+    out = m.where("outsider").select("token", "v", "label", F.lit(True).alias("outsider"), own("ks", 2).alias("k"), F.explode(spread("ls")).alias("l"))
+    blocks = all_.unionByName(out).select("token", "k", "l", "v", F.col("label.v").alias("comp"), "outsider").join(sets, "v")
+    return stored(blocks.groupBy("token", "k", "l").applyInArrow(_across(percent), "a string, b string"), "rest")
 
-    Words are runs between ASCII white space, A-Z lower-cased. Two texts are linked if 100 * intersection >= percent * union of their sets. Null texts, and texts without words, are
-    linked with nothing. A row with a null id belongs to no group: its component_id is null, and it is kept. Rows that repeat an id share a component if their texts do.
-    An empty table gives none. Other columns are ignored. digests: text_sha256 too, which tells rows apart that share an id but not the text.
 
-    Plan: one pass over the texts gives each distinct word sequence a digest and its band hashes; copies fold into their least id before any band is shuffled. In each bucket of a
-    band, members are compared with one centre (a star, not all pairs); links join components, and only buckets that still hold several components go on, with other
-    centres, and at last with those outside of a bucket's largest component against all of it, in blocks (see _rest). So no link between components is lost, a bucket of
-    n copies costs n comparisons, and no list of all pairs is ever made. Sets are made again from the texts of candidates only.
-    """
-    source = rows(docs, id_col, text_col)
-    passed = ["text_sha256"] if digests else []
+def _grouped(source: DataFrame, percent: int, bands: int, band_rows: int, passed: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(each row with v, the digest of its words; v, label of its component)."""
     described = source.withColumns({c: F.sha2("text", 256) for c in passed}).mapInArrow(
         _describe(bands, band_rows, passed), ", ".join(["doc_id long, n_shingles long, v string, bands array<long>", *(f"{c} string" for c in passed)])
     )
     seen = stored(described, "described")
     nodes = stored(seen.where("v is not null and doc_id is not null").groupBy("v").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "nodes")
     every = nodes.select("v", "id", "n", F.explode("bands").alias("band"))
-    shared = every.groupBy("band").agg(F.count("*").alias("m")).where("m > 1").select("band", "m")
+    shared = stored(every.groupBy("band").agg(F.count("*").alias("m")).where("m > 1"), "shared")
     members = stored(every.join(shared, "band"), "members")
-    # hot ids repeat over few rows, so a hash of the candidates is small; texts stream by, unsorted
     wanted = members.select("v", F.col("id").alias("doc_id")).distinct()
-    sets = stored(source.join(wanted.hint("shuffle_hash"), "doc_id").select("v", "text").mapInArrow(_sets, "v string, shingles binary").dropDuplicates(["v"]), "sets")
+    sets = stored(source.join(wanted, "doc_id").select("v", "text").mapInArrow(_sets, "v string, shingles binary").dropDuplicates(["v"]), "sets")
 
     def compared(pairs: DataFrame) -> DataFrame:
         one = pairs.join(sets.select(F.col("v").alias("a"), F.col("shingles").alias("sa")), "a")
@@ -214,25 +250,42 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         fits = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("va") != F.col("vb"))
         return df.where(fits).select(F.least("va", "vb").alias("a"), F.greatest("va", "vb").alias("b")).distinct()
 
-    labels = nodes.select("v", F.struct("id", "v").alias("label"))
-    links, now, open_, tables = None, labels, members, [nodes, members, sets]
-    for turn in range(STARS):
-        key = F.struct("id", "v", "n") if turn == 0 else F.struct(F.xxhash64("v", F.lit(turn)).alias("id"), "v", "n")
-        centre = open_.groupBy("band").agg(F.min(key).alias("c")).select("band", F.col("c.v").alias("vb"), F.col("c.n").alias("nb"))
-        tables.append(new := compared(ordered(open_.join(centre, "band").select(F.col("v").alias("va"), F.col("n").alias("na"), "vb", "nb"))))
-        links = new if links is None else links.unionByName(new)
-        tables.append(now := stored(components(labels, links), "components"))
+    now, open_ = nodes.select("v", F.struct("id", "v").alias("label")), members
+    for turn in range(STARS + 1):
+        if turn < STARS:
+            key = F.struct("id", "v", "n") if turn == 0 else F.struct(F.xxhash64("v", F.lit(turn)).alias("id"), "v", "n")
+            centre = stored(open_.groupBy("band").agg(F.min(key).alias("c")).select("band", F.col("c.v").alias("vb"), F.col("c.n").alias("nb")), "centres")
+            new = compared(ordered(open_.join(centre, "band").select(F.col("v").alias("va"), F.col("n").alias("na"), "vb", "nb")))
+        else:
+            new = _rest(open_, sets, percent)
+        now = stored(components(now, new), "components")
+        if turn == STARS:
+            break
         # only buckets that still hold several components go on
-        left = members.where("m > 2").join(now, "v")
-        mixed = left.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band")
-        tables.append(open_ := stored(left.join(mixed, "band").select("band", "v", "id", "n", "label"), "open"))
+        left = stored(open_.where("m > 2").select("band", "v", "id", "n", "m").join(now, "v"), "left")
+        mixed = stored(left.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band"), "mixed")
+        open_ = stored(left.join(mixed, "band"), "open")
         if not open_.limit(1).count():
             break
-    else:
-        tables.append(rest := _rest(open_, sets, percent))
-        links = links.unionByName(rest)
-        now = stored(components(labels, links), "components")
-    release(*[t for t in tables if t is not now])
+    return seen, now
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, bands: int = BANDS, band_rows: int = BAND_ROWS, digests: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id (least doc_id reachable by links), kept (whether it is that one).
+
+    Words are runs between ASCII white space, A-Z lower-cased. Two texts are linked if 100 * intersection >= percent * union of their sets. Null texts, and texts without words, are
+    linked with nothing. A row with a null id belongs to no group: its component_id is null, and it is kept. Rows that repeat an id share a component if their texts do.
+    An empty table gives none. Other columns are ignored. digests: text_sha256 too, which tells rows apart that share an id but not the text.
+
+    Plan: one pass over the texts gives each distinct word sequence a digest and its band hashes; copies fold into their least id before any band is shuffled. In each bucket of a
+    band, members are compared with one centre (a star, not all pairs); links join components, and only buckets that still hold several components go on, with other
+    centres, and at last by the rarest shingles of those that are still apart (see _rest). So no link between components is lost, a bucket of n copies costs n comparisons, and no
+    list of all pairs is ever made. Sets are made again from the texts of candidates only. What a join brings back to a bucket's members is written first, so that Spark can
+    split the members of a hot bucket over tasks.
+    """
+    with scratch() as kept:
+        seen, now = _grouped(rows(docs, id_col, text_col), percent, bands, band_rows, passed := ["text_sha256"] if digests else [])
+        kept += [seen, now]
     label = now.select("v", F.col("label.id").alias("component_id"))
     return (
         seen.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("v")).alias("v"), *passed).join(label, "v", "left")

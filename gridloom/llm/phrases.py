@@ -162,10 +162,12 @@ def _ranges(source: DataFrame, found: DataFrame, shard_windows: int, stream_byte
     first = found.where(f"doc_id is not null and n_words >= {SPAN}").groupBy("digest").agg(F.min(F.struct("doc_id", "raw")).alias("f"), F.first("prints").alias("prints"))
     prints = stored(first.select("f.doc_id", "f.raw", F.explode("prints").alias("print")), "prints")
     recur = prints.groupBy("print").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("print")
+    # written first, so that Spark can split the documents of a hot fingerprint over tasks
+    recur = stored(recur, "recur")
     asked = prints.join(recur, "print").groupBy("doc_id", "raw").agg(F.collect_list("print").alias("prints"))
-    texts = stored(source.join(asked.hint("shuffle_hash"), ["doc_id", "raw"]).select("doc_id", "raw", "text", "prints").dropDuplicates(["doc_id", "raw"]), "texts")
+    texts = stored(source.join(asked, ["doc_id", "raw"]).select("doc_id", "raw", "text", "prints").dropDuplicates(["doc_id", "raw"]), "texts")
     windows = stored(texts.mapInArrow(_windows, "w1 long, w2 long, doc_id long, at long"), "windows")
-    release(prints)
+    release(prints, recur)
     held = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.max("doc_id").alias("hi")).where("first.doc_id < hi")
     held = stored(held.select("w1", "w2", F.col("first.doc_id").alias("origin"), F.col("first.at").alias("at")), "held")
     found_at = held.select("w1", "w2", "origin", F.floor(F.col("at") / STRETCH).alias("stretch"))

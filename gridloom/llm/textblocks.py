@@ -1,7 +1,7 @@
 """Word and n-gram hashing over Arrow text columns, whole blocks of documents at a time.
 
 Everything here works on the UTF-8 bytes as Arrow holds them, without a Python object for each word.
-Hashes select candidates only; each operator confirms on words, or on 128 bits.
+Hashes select candidates only; each operator confirms on words, or on 128 bits, but for the sets of shingles of operator 4, which are sets of 64-bit hashes.
 """
 
 from __future__ import annotations
