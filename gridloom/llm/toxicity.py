@@ -1,6 +1,8 @@
-"""Toxicity by compression distance: a zstandard dictionary trained on ordinary text and one trained on toxic text; windows are compressed with either, and the lengths compared.
+"""Toxicity by compression distance: a zstandard dictionary trained on windows of ordinary text and one trained on windows of toxic text; windows are compressed with either, and
+the lengths compared.
 
-Both compressors share the ordinary dictionary's content and differ by the toxic one's, so a window's gain is what toxic content alone explains.
+Most of a toxic text is as ordinary as any, so the toxic dictionary learns from those of its windows that hold what toxic texts have far more often than ordinary ones. Both compressors
+share the ordinary dictionary's content and differ by the toxic one's, so a window's gain is what toxic content alone explains.
 """
 
 from __future__ import annotations
@@ -20,12 +22,17 @@ from gridloom.llm.sampling import BYTES, ROWS, labelled
 
 #: Bytes between windows, and by how much a window overlaps the next one, so that no word is cut in all.
 WINDOW, OVERLAP = 64, 12
-ORDINARY_BYTES, TOXIC_BYTES = 32_768, 512
+ORDINARY_BYTES, TOXIC_BYTES = 32_768, 3072
+#: Training windows: of ordinary text, one of so many; of a toxic text, so many words on either side of one that stands for toxic text, and so many windows.
+EVERY, AROUND, KEPT = 5, 1, 20
 #: A stem stands for toxic text if this share of toxic samples has it, and so many times the share of ordinary ones.
 MIN_SHARE, MIN_RATIO = 0.02, 20
 #: A window's gain in bytes, from 1 to this, is a threshold; a document's score is calibrated on how many windows pass each.
 GAINS = 6
 FOLDS = 3
+#: In a dictionary that zstandard has trained, tables for its own use end with these repeat offsets (fixed values); content follows.
+_OFFSETS = b"\x01\0\0\0\x04\0\0\0\x08\0\0\0"
+_TABLES = 400
 
 _WORD = re.compile(rb"[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
 
@@ -34,33 +41,34 @@ def _stems(word: bytes) -> list[bytes]:
     return [*(word[:n] for n in range(4, min(len(word), 9))), word]
 
 
-def toxic_samples(toxic: list[set[bytes]], ordinary: list[set[bytes]]) -> list[bytes]:
-    """What the toxic dictionary is trained on: of each toxic text, the stems that toxic texts hold far more often than ordinary ones."""
-    count = Counter(s for words in toxic for s in {s for w in words for s in _stems(w)})
+def toxic_windows(toxic: list[bytes], ordinary: list[set[bytes]]) -> list[bytes]:
+    """What the toxic dictionary is trained on: of each toxic text, windows around words whose stem toxic texts hold far more often than ordinary ones (given as their sets of words)."""
+    own = [set(_WORD.findall(t)) for t in toxic]
+    count = Counter(s for words in own for s in {s for w in words for s in _stems(w)})
     if not toxic:
         return []
     least = max(2.0, MIN_SHARE * len(toxic))
     common = {s: n for s, n in count.items() if n >= least}
     count = Counter(s for words in ordinary for s in {s for w in words for s in _stems(w) if s in common})
-    special = {s: n for s, n in common.items() if n / len(toxic) >= MIN_RATIO * (count[s] + 0.5) / (len(ordinary) + 1)}
+    special = {s for s, n in common.items() if n / len(toxic) >= MIN_RATIO * (count[s] + 0.5) / (len(ordinary) + 1)}
     out = []
-    for words in toxic:
-        found = []
-        for w in sorted(words):
-            if own := [s for s in _stems(w) if s in special]:
-                most = max(special[s] for s in own)
-                found.append([s for s in own if special[s] >= most / 2][-1])
-        if found:
-            out.append(b" " + b" ".join(found) + b" ")
+    for text, words in zip(toxic, own, strict=True):
+        marked = {w for w in words if any(s in special for s in _stems(w))}
+        if marked:
+            run = text.split()
+            at = [i for i, x in enumerate(run) if not marked.isdisjoint(_WORD.findall(x))]
+            out += [b" " + b" ".join(run[max(0, i - AROUND) : i + AROUND + 1]) + b" " for i in at[:KEPT]]
     return out
 
 
 def dictionary(size: int, samples: list[bytes], segment: int) -> bytes:
     """The content of a trained dictionary; of too few samples, their own end."""
     try:
-        return zstandard.train_dictionary(size, samples, k=segment, d=6).as_bytes()[-size:]
+        raw = zstandard.train_dictionary(size + _TABLES, samples, k=segment, d=6).as_bytes()
     except zstandard.ZstdError:
         return b"".join(samples)[-size:]
+    at = raw.find(_OFFSETS, 0, 2 * _TABLES)
+    return raw[at + len(_OFFSETS) if at >= 0 else 0 :][-size:]
 
 
 def compressor(content: bytes) -> zstandard.ZstdCompressor:
@@ -121,14 +129,14 @@ def train(samples: list[tuple[str, int]]) -> Model:
     if len({y for _, y in texts}) < 2:
         return Model(b"", b"", np.array([np.log(rate / (1 - rate)), *[0.0] * n]), np.zeros(n), np.ones(n), rate)
     words = [set(_WORD.findall(t)) for t, _ in texts]
-    base = dictionary(ORDINARY_BYTES, [b" ".join(sorted(w)) for w, (_, y) in zip(words, texts, strict=True) if not y], 64)
+    base = dictionary(ORDINARY_BYTES, [t[i : i + WINDOW] for t, y in texts if not y for i in range(0, len(t), EVERY * WINDOW)], 64)
 
     def without(fold: int | None) -> Model:
-        own = [(w, y) for i, (w, (_, y)) in enumerate(zip(words, texts, strict=True)) if fold is None or i % FOLDS != fold]
-        toxic, ordinary = ([w for w, y in own if y == k] for k in (1, 0))
-        return Model(base, dictionary(TOXIC_BYTES, toxic_samples(toxic, ordinary), 32), np.zeros(n + 1), np.zeros(n), np.ones(n), rate)
+        own = [i for i in range(len(texts)) if fold is None or i % FOLDS != fold]
+        windows = toxic_windows([texts[i][0] for i in own if texts[i][1]], [words[i] for i in own if not texts[i][1]])
+        return Model(base, dictionary(TOXIC_BYTES, windows, 32), np.zeros(n + 1), np.zeros(n), np.ones(n), rate)
 
-    # thresholds are calibrated on texts that the dictionary has not seen
+    # thresholds are calibrated on texts that the toxic dictionary has not seen
     x = np.empty((len(texts), n))
     for fold in range(FOLDS):
         model = without(fold)
