@@ -11,12 +11,23 @@ from gridloom.llm import textblocks as tb
 from gridloom.llm.common import held_out, rows
 from gridloom.llm.sampling import BYTES, ROWS, labelled
 
-#: Vectors for words, and for n-grams of these many bytes.
+#: Vectors for words, and for n-grams of these many characters.
 BUCKET_BITS, GRAMS, DIMS = 17, (2, 3, 4), 12
 STEPS, RATE = 24_000, 0.2
 REPEATED = 2 << BUCKET_BITS
 
 
+def characters(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where each character begins, its UTF-8 bytes as one number)."""
+    at = np.flatnonzero((buf & 0xC0) != 0x80)
+    size = np.diff(np.append(at, len(buf)))
+    out = np.zeros(len(at), dtype=np.uint32)
+    for q in range(4):
+        has = size > q
+        out[has] |= buf[at[has] + q].astype(np.uint32) << np.uint32(8 * q)
+    return at, out
+
+
 def features(block: tb.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Vector numbers of the block's words, with their documents, and of its n-grams, with theirs. A word that repeats the one before has a vector's number of its own."""
     starts, ends, bounds = block.words(tb.SPACE_WORDS)
@@ -26,8 +37,8 @@ def features(block: tb.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     again = np.zeros(len(words), dtype=bool)
     again[1:] = (hashes[1:] == hashes[:-1]) & (of[1:] == of[:-1])
     words[again] = REPEATED
-    x = block.buf.astype(np.uint32)
-    place = tb.doc_of(block.offsets).astype(np.int32)
+    at, x = characters(block.buf)
+    place = tb.doc_of(block.offsets).astype(np.int32)[at]
     parts, owners = [], []
     for n in GRAMS:
         m = max(0, len(x) - n + 1)
