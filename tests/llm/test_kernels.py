@@ -9,7 +9,8 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from gridloom.llm import bpe, langid
+from gridloom.llm import bpe, langid, quality, toxicity
+from gridloom.llm import textblocks as tb
 
 
 @pytest.mark.parametrize("piece", [64, 3])
@@ -83,3 +84,60 @@ def test_caches_are_bounded_by_bytes(monkeypatch):
         assert np.array_equal(np.frombuffer(encoder.encode([text])[0], dtype="<u4"), byte.encode(text, add_special_tokens=False).ids)
         counts.tokens(text)
         assert max(len(encoder.cache), len(encoder.old)) <= 500 and max(len(counts), len(counts.old), len(counts.pieces)) <= 500
+
+
+TEXTS = ["", "a", "ab", "Größe und Größe und Größe", "日本語 日本語 text", "one one two", "   ", "naïve café 😀😀", "x" * 300]
+
+
+def _block(texts):
+    data = [t.encode() for t in texts]
+    return tb.Block(0, np.frombuffer(b"".join(data), dtype=np.uint8), np.cumsum([0, *map(len, data)]))
+
+
+def test_quality_score_is_the_average_of_learned_vectors():
+    """Against a plain version: a vector for each word and each character n-gram, averaged, and the softmax."""
+    model = quality.Model([("good words in a good text, größer", 1), ("bad bad bad !!", 0), ("日本語 日本語", 1)] * 4)
+
+    def bucket(gram):
+        h = len(gram)
+        for c in gram:
+            h = (h ^ int.from_bytes(c.encode(), "little")) * 0x9E3779B1 % 2**32
+            h ^= h >> 15
+        return (h >> (32 - quality.BUCKET_BITS)) + (1 << quality.BUCKET_BITS)
+
+    def plain(text):
+        words, seen = text.encode().split(), [int(h) >> (64 - quality.BUCKET_BITS) for h in _hashes(text)]
+        seen = [quality.REPEATED if i and words[i] == words[i - 1] else s for i, s in enumerate(seen)]
+        grams = [bucket(text[i : i + n]) for n in quality.GRAMS for i in range(len(text) - n + 1)]
+        h = np.zeros(quality.DIMS)
+        for part in (seen, grams):
+            for v in part:
+                h += model.vectors[v] / (2 * len(part))
+        z = h @ model.weights + model.bias
+        return np.exp(z[1]) / np.exp(z).sum()
+
+    def _hashes(text):
+        b = _block([text])
+        starts, ends, _ = b.words(tb.SPACE_WORDS)
+        return tb.hash_words(b.buf, starts, ends, lower=False)
+
+    assert np.allclose(model.score(_block(TEXTS)), [plain(t) for t in TEXTS], atol=1e-5)
+
+
+def test_toxicity_gains_against_compressing_by_hand():
+    """A window's gain is how much shorter it is with the toxic dictionary in front; texts that hold what toxic samples share score higher."""
+    rng = random.Random(4)
+    say = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+    some = lambda: say(rng.randrange(10, 60))
+    samples = [(f"{some()} vileword rottenword {some()}", 1) for _ in range(60)] + [(f"{some()} {some()}", 0) for _ in range(240)]
+    model = toxicity.train(samples)
+    base, toxic = model.parts[:2]
+    assert b"vileword" in toxic and b"rottenword" in toxic and b"vileword" not in base
+    a, b = toxicity.compressor(base), toxicity.compressor(toxic + base)
+    text = f"{say(30)} VILEWORD {say(30)}".encode()
+    want = []
+    for i in range(0, len(text), toxicity.WINDOW):
+        w = text[i : i + toxicity.WINDOW + toxicity.OVERLAP].lower()
+        want.append(len(a.compress(w)) - len(b.compress(w)))
+    assert model.gains(text).tolist() == want and max(want) >= 3
+    assert model.score(text) > 0.5 > model.score(say(60).encode())

@@ -86,6 +86,42 @@ def test_op1_finds_runs_of_one_owner(spark):
     assert {r.spans for r in out.collect()} == {""}
 
 
+def test_op1_against_brute_force(docs):
+    """Spans of unknown form, and what is live or copied, over the odd table."""
+    run = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}")
+    found, owners = [], {}
+    for k, (i, t) in enumerate(DOCS):
+        owner = "" if k % 5 == 0 else f"o{k % 4}"
+        base = [(m.start(), n, m.end(), m[g]) for n, (_, p, g, least) in enumerate(KINDS) for m in p.finditer(t or "") if len(m[g]) >= least]
+        runs = [(m.start(), 3, m.end(), m[0]) for m in run.finditer(t or "") if len(set(m[0])) >= 10 and sum(c in "0123456789" for c in m[0]) >= 3 and re.search("[A-Za-z]", m[0])]
+        runs = [r for r in runs if not any(b[0] < r[2] and r[0] < b[2] for b in base)]
+        found.append((i, base + runs))
+        for x in base + runs:
+            owners.setdefault(x[3], set()).add(owner)
+    want = []
+    for i, xs in found:
+        live = [x for x in xs if len(owners[x[3]]) == 1]
+        shown = sorted(x for x in xs if x[1] < 3 or x in live)
+        want.append((i, ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e, _ in shown), len(live), len(xs) - len(live)))
+    assert got(secrets.secret_scan(docs)[0], "doc_id", "spans", "n_live", "n_copied") == sorted(want)
+
+
+def test_op1_time_follows_the_text(spark):
+    """Texts of many thousand secrets: twice the text takes little more than twice the time."""
+    import time
+
+    def seconds(n):
+        text = " ".join(f"token={hashlib.md5(str(i).encode()).hexdigest()}" for i in range(n))
+        df = spark.createDataFrame([(1, text, "a/b")], "doc_id long, text string, source string")
+        began = time.time()
+        (r,) = secrets.secret_scan(df)[0].collect()
+        assert (r.n_assign, r.n_hex, r.n_live) == (n, n, 2 * n)
+        return time.time() - began
+
+    seconds(1000)
+    assert seconds(60_000) < 3 * seconds(30_000) + 2
+
+
 @pytest.mark.parametrize("windows", [8000, 40])
 def test_op2(docs, none, windows):
     assert got(phrases.remove_repeats(docs, shard_windows=windows, stream_bytes=3000), "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(phrases.brute(DOCS))
@@ -115,8 +151,9 @@ def test_op4(docs, none):
     assert minhash.near_groups(none).count() == 0
 
 
-def test_op4_a_family_around_the_threshold(spark, monkeypatch):
-    for name, n in (("OUTSIDERS", 8), ("MEMBERS", 16), ("STARS", 1)):
+@pytest.mark.parametrize(("outsiders", "members", "few"), [(256, 1024, 8), (8, 16, 3), (2, 2, 1000)])
+def test_op4_a_family_around_the_threshold(spark, monkeypatch, outsiders, members, few):
+    for name, n in (("OUTSIDERS", outsiders), ("MEMBERS", members), ("STARS", 1), ("FEW", few)):
         monkeypatch.setattr(minhash, name, n)
     family, rows = [[rng.choice(WORDS) + str(rng.randrange(50)) for _ in range(150)]], []
     for i in range(90):
