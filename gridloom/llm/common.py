@@ -108,7 +108,7 @@ def held_out(doc_id: Column | str = "doc_id") -> Column:
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """Least label of each connected component.
 
-    nodes: v string, label struct<id long, v string>, unique in v: of each node by itself, or as an earlier call gave them for other links. links: a, b string. Returns v, label.
+    nodes: v, label (struct of id and v), unique in v: of each node by itself, or as an earlier call gave them for other links. links: a, b, of v's type. Returns v, label.
     Each round every label that still has a link points to its least neighbour. Of a tree of such pointers only the two labels at its top choose each other, and the lesser of
     them is the least of the tree, so it becomes the root; pointers are doubled until all lead to roots, and links are rewritten between roots. Each tree holds two labels or more,
     so the open labels at least halve: log2(n) rounds of log2(depth) doublings whatever the order of labels, each a smaller table in the shared folder.

@@ -21,8 +21,8 @@ BANDS, BAND_ROWS = 20, 4
 STARS = 3
 #: Outsiders and members that meet in one task, and about how many bytes of either.
 OUTSIDERS, MEMBERS, BLOCK_BYTES = 256, 1024, 4 << 20
-#: Slots of the table of how often shingles occur.
-SLOT_BITS = 18
+#: Slots of the table of how often shingles occur; sets with a rare shingle in common that are compared as pairs.
+SLOT_BITS, FEW = 18, 8
 _STEP = np.uint64(0xD1B54A32D192ED03)
 _PI = np.uint64(0xA0761D6478BD642F)
 _CHUNK = 1 << 15
@@ -93,7 +93,7 @@ def _describe(bands: int, band_rows: int, passed: list[str]):
                 hashes.append(band_hashes(signatures(sets, bands * band_rows), bands))
             flat = np.concatenate(hashes) if hashes else np.zeros((0, bands), dtype=np.uint64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, bands, dtype=np.int32)), pa.array(flat.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(digests, pa.string()), lists, *(batch[c] for c in passed)], names=["doc_id", "n_shingles", "v", "bands", *passed])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(digests, pa.string()), lists, *(batch[c] for c in passed)], names=["doc_id", "n_shingles", "digest", "bands", *passed])
 
     return run
 
@@ -101,13 +101,13 @@ def _describe(bands: int, band_rows: int, passed: list[str]):
 def _sets(batches):
     """v, set (bytes of sorted 64-bit hashes) of the rows whose text has the digest that was asked for."""
     for batch in batches:
-        v, out, asked = [], [], batch["v"].to_pylist()
+        v, out, asked, node = [], [], batch["digest"].to_pylist(), batch["v"].to_pylist()
         for b in tb.blocks(batch["text"]):
             for i, s in enumerate(shingles(b)):
                 if _digest(b.text(i)) == asked[b.first + i]:
-                    v.append(asked[b.first + i])
+                    v.append(node[b.first + i])
                     out.append(s.tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(v, pa.string()), pa.array(out, pa.binary())], names=["v", "shingles"])
+        yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()), pa.array(out, pa.binary())], names=["v", "shingles"])
 
 
 def _similar(percent: int):
@@ -156,7 +156,7 @@ def _across(percent: int):
                     up[x] = y
                     a.append(min(v[i], v[j]))
                     b.append(max(v[i], v[j]))
-        return pa.table({"a": pa.array(a, pa.string()), "b": pa.array(b, pa.string())})
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
@@ -173,80 +173,96 @@ def _slots(batches):
 
 
 def _prefixes(percent: int, shared):
-    """(shingle, v, label, bytes): of each set, those shingles of which two sets that are similar enough must have one in common."""
+    """(shingle, v, label, size): of each set, those shingles of which two sets that are similar enough must have one in common."""
 
     def run(batches):
         often = shared.value
         for batch in batches:
-            rare, owner = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
-            sizes = []
-            for i, x in enumerate(batch["shingles"]):
+            rare, sizes = [np.zeros(0, dtype=np.uint64)], []
+            for x in batch["shingles"]:
                 x = np.frombuffer(x.as_buffer(), dtype=np.uint64)
                 n = often[(x >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
                 first = np.lexsort((x, n))[: len(x) + percent * len(x) // -100 + 1]
-                first = first[n[first] > 1]
-                rare.append(x[first])
-                owner.append(np.full(len(first), i))
-                sizes.append(x.nbytes)
-            of = pa.array(np.concatenate(owner))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rare).view(np.int64)), batch["v"].take(of), batch["label"].take(of), pa.array(sizes, pa.int64()).take(of)], names=["token", "v", "label", "bytes"])
+                rare.append(x[first[n[first] > 1]])
+                sizes.append(len(x))
+            of = pa.array(np.repeat(np.arange(len(sizes)), [len(x) for x in rare[1:]]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rare).view(np.int64)), batch["v"].take(of), batch["label"].take(of), pa.array(sizes, pa.int64()).take(of)], names=["g", "v", "label", "n"])
 
     return run
 
 
-def _rest(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """members: v, label of those in buckets with several components. All links between their components, or as many as join them.
+def _sizes(groups: DataFrame) -> DataFrame:
+    """groups: g, v, label, n (shingles). Of each group: its largest component, and in how many blocks its outsiders (all others) and its members are dealt."""
+    per = groups.groupBy("g", "label").agg(F.count("*").alias("rows"), F.sum("n").alias("n")).groupBy("g").agg(
+        F.max_by(F.struct("label", "rows", "n"), F.struct("rows", "label")).alias("main"), F.sum("rows").alias("rows"), F.sum("n").alias("n")
+    )
+    blocks = lambda rows, most, n: F.ceil(F.greatest(rows / most, 8 * n / BLOCK_BYTES)).cast("int")
+    out = per.select("g", F.col("main.label").alias("main"), "rows", blocks(F.col("rows") - F.col("main.rows"), OUTSIDERS, F.col("n") - F.col("main.n")).alias("ks"), blocks(F.col("rows"), MEMBERS, F.col("n")).alias("ls"))
+    return stored(out, "sizes")
+
+
+def _blocks(groups: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """All links between the components of a group, or as many as join them. Outsiders and members are dealt out in blocks bounded by number and bytes, a task for each pair of
+    blocks, and what a task sends on is less than its rows."""
+    m = groups.select("g", "v", "label").join(sizes, "g").withColumn("outsider", F.col("label") != F.col("main"))
+    spread = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    own = lambda n, seed: F.pmod(F.xxhash64("v", F.lit(seed)), F.col(n)).cast("int")
+    # each member to its block, against all blocks of outsiders; each outsider, as such, to its block, against all blocks of members
+    all_ = m.select("g", "v", "label", F.lit(False).alias("outsider"), F.explode(spread("ks")).alias("k"), own("ls", 1).alias("l"))
+    out = m.where("outsider").select("g", "v", "label", F.lit(True).alias("outsider"), own("ks", 2).alias("k"), F.explode(spread("ls")).alias("l"))
+    blocks = all_.unionByName(out).select("g", "k", "l", "v", F.col("label.v").alias("comp"), "outsider").join(sets.hint("merge"), "v")
+    return stored(blocks.groupBy("g", "k", "l").applyInArrow(_across(percent), "a long, b long"), "across")
 
-    Not all pairs of a bucket: by prefix filtering. In an order by how often they occur, rarest first, two similar sets share one of their first n - ceil(percent * n) + 1 shingles.
-    The order comes from a table of 1 << SLOT_BITS counts, whatever the input; it is the same everywhere, so the filter is exact, and a passage that all members share is
-    in few prefixes. Of those who share such a shingle, whoever is not of their largest component is an outsider, and is compared with all. Outsiders and members are dealt
-    out in blocks bounded by number and bytes, a task for each pair of blocks, and what a task sends on is less than its rows.
+
+def _rest(members: DataFrame, sets: DataFrame, percent: int, compared) -> DataFrame:
+    """members: band, v, n, label of buckets with several components. All links between their components, or as many as join them.
+
+    A bucket that fits one block is compared there, outsiders with all. Of larger ones not all pairs are compared, by prefix filtering: in an order by how often shingles occur,
+    rarest first, two similar sets share one of their first n - ceil(percent * n) + 1. The order comes from a table of 1 << SLOT_BITS counts, whatever the input; it is the same
+    everywhere, so the filter is exact, and a passage that all members share is in few prefixes. Those who share a rare shingle are compared as pairs, up to FEW of them;
+    more, in blocks.
     """
-    inside = stored(members.select("v", "label").distinct().join(sets, "v"), "inside")
+    groups = members.withColumnRenamed("band", "g")
+    sizes = _sizes(groups)
+    links = _blocks(groups, sizes.where("ks * ls = 1"), sets, percent)
+    large = groups.join(sizes.where("ks * ls > 1").select("g"), "g")
+    if not sizes.where("ks * ls > 1").limit(1).count():
+        return links
+    inside = stored(large.select("v", "label").distinct().join(sets, "v"), "inside")
     counts = np.zeros(1 << SLOT_BITS, dtype=np.int64)
     for r in inside.select("shingles").mapInArrow(_slots, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1").toLocalIterator():
         counts[r["slot"]] = r["n"]
     shared = members.sparkSession.sparkContext.broadcast(counts)
-    tokens = stored(inside.mapInArrow(_prefixes(percent, shared), StructType([StructField("token", LongType()), *inside.select("v", "label").schema.fields, StructField("bytes", LongType())])), "tokens")
-    mixed = stored(tokens.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token"), "mixed")
-    tokens = tokens.join(mixed, "token")
-    size = tokens.groupBy("token", "label").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).groupBy("token").agg(
-        F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("all"), F.sum("bytes").alias("all_bytes"), F.max_by("bytes", F.struct("n", "label")).alias("main_bytes"), F.max("n").alias("main_n"),
-    )
-    blocks_of = lambda n, most, size: F.ceil(F.greatest(n / most, size / BLOCK_BYTES)).cast("int")
-    size = stored(size.select(
-        "token", "main", blocks_of(F.col("all") - F.col("main_n"), OUTSIDERS, F.col("all_bytes") - F.col("main_bytes")).alias("ks"), blocks_of(F.col("all"), MEMBERS, F.col("all_bytes")).alias("ls")
-    ), "sizes")
-    m = tokens.select("token", "v", "label").join(size, "token").withColumn("outsider", F.col("label") != F.col("main"))
-    spread = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    own = lambda n, seed: F.pmod(F.xxhash64("v", F.lit(seed)), F.col(n)).cast("int")
-    # each member to its block, against all blocks of outsiders; each outsider, as such, to its block, against all blocks of members
-    all_ = m.select("token", "v", "label", F.lit(False).alias("outsider"), F.explode(spread("ks")).alias("k"), own("ls", 1).alias("l"))
-    out = m.where("outsider").select("token", "v", "label", F.lit(True).alias("outsider"), own("ks", 2).alias("k"), F.explode(spread("ls")).alias("l"))
-    blocks = all_.unionByName(out).select("token", "k", "l", "v", F.col("label.v").alias("comp"), "outsider").join(sets, "v")
-    return stored(blocks.groupBy("token", "k", "l").applyInArrow(_across(percent), "a string, b string"), "rest")
+    schema = StructType([StructField("g", LongType()), *inside.select("v", "label").schema.fields, StructField("n", LongType())])
+    tokens = stored(inside.mapInArrow(_prefixes(percent, shared), schema), "tokens")
+    mixed = stored(tokens.groupBy("g").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("g", "m"), "mixed")
+    few, many = (tokens.join(mixed.where(c).select("g"), "g") for c in (f"m <= {FEW}", f"m > {FEW}"))
+    end = lambda x: few.select("g", F.col("v").alias(f"v{x}"), F.col("n").alias(f"n{x}"), F.col("label").alias(f"l{x}"))
+    pairs = compared(end("a").join(end("b"), "g").where("va < vb and la <> lb"))
+    return links.unionByName(pairs).unionByName(_blocks(many, _sizes(many), sets, percent))
 
 
 def _grouped(source: DataFrame, percent: int, bands: int, band_rows: int, passed: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(each row with v, the digest of its words; v, label of its component)."""
+    """(each row with the digest of its words; digest, component_id). Joins are by sort and merge whatever the size, as neither side is bounded and both can spill."""
     described = source.withColumns({c: F.sha2("text", 256) for c in passed}).mapInArrow(
-        _describe(bands, band_rows, passed), ", ".join(["doc_id long, n_shingles long, v string, bands array<long>", *(f"{c} string" for c in passed)])
+        _describe(bands, band_rows, passed), ", ".join(["doc_id long, n_shingles long, digest string, bands array<long>", *(f"{c} string" for c in passed)])
     )
     seen = stored(described, "described")
-    nodes = stored(seen.where("v is not null and doc_id is not null").groupBy("v").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "nodes")
+    texts = seen.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    nodes = stored(texts.withColumn("v", F.monotonically_increasing_id()), "nodes")
     every = nodes.select("v", "id", "n", F.explode("bands").alias("band"))
     shared = stored(every.groupBy("band").agg(F.count("*").alias("m")).where("m > 1"), "shared")
-    members = stored(every.join(shared, "band"), "members")
-    wanted = members.select("v", F.col("id").alias("doc_id")).distinct()
-    sets = stored(source.join(wanted, "doc_id").select("v", "text").mapInArrow(_sets, "v string, shingles binary").dropDuplicates(["v"]), "sets")
+    members = stored(every.join(shared.hint("merge"), "band"), "members")
+    wanted = stored(nodes.select("v", "digest", F.col("id").alias("doc_id")).join(members.select("v").distinct(), "v", "left_semi"), "wanted")
+    sets = stored(source.join(wanted.hint("merge"), "doc_id").select("v", "digest", "text").mapInArrow(_sets, "v long, shingles binary").dropDuplicates(["v"]), "sets")
 
     def compared(pairs: DataFrame) -> DataFrame:
-        one = pairs.join(sets.select(F.col("v").alias("a"), F.col("shingles").alias("sa")), "a")
-        both = one.join(sets.select(F.col("v").alias("b"), F.col("shingles").alias("sb")), "b")
-        return stored(both.select("a", "b", "sa", "sb").mapInArrow(_similar(percent), "a string, b string"), "links")
+        one = pairs.join(sets.select(F.col("v").alias("a"), F.col("shingles").alias("sa")).hint("merge"), "a")
+        both = one.join(sets.select(F.col("v").alias("b"), F.col("shingles").alias("sb")).hint("merge"), "b")
+        return stored(both.select("a", "b", "sa", "sb").mapInArrow(_similar(percent), "a long, b long"), "links")
 
     def ordered(df: DataFrame) -> DataFrame:
-        """Pairs of different texts whose sizes allow the similarity, each once."""
+        """Pairs va, vb of different texts whose sizes na, nb allow the similarity, each once."""
         fits = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("va") != F.col("vb"))
         return df.where(fits).select(F.least("va", "vb").alias("a"), F.greatest("va", "vb").alias("b")).distinct()
 
@@ -255,19 +271,19 @@ def _grouped(source: DataFrame, percent: int, bands: int, band_rows: int, passed
         if turn < STARS:
             key = F.struct("id", "v", "n") if turn == 0 else F.struct(F.xxhash64("v", F.lit(turn)).alias("id"), "v", "n")
             centre = stored(open_.groupBy("band").agg(F.min(key).alias("c")).select("band", F.col("c.v").alias("vb"), F.col("c.n").alias("nb")), "centres")
-            new = compared(ordered(open_.join(centre, "band").select(F.col("v").alias("va"), F.col("n").alias("na"), "vb", "nb")))
+            new = compared(ordered(open_.join(centre.hint("merge"), "band").select(F.col("v").alias("va"), F.col("n").alias("na"), "vb", "nb")))
         else:
-            new = _rest(open_, sets, percent)
+            new = _rest(open_, sets, percent, lambda pairs: compared(ordered(pairs)))
         now = stored(components(now, new), "components")
         if turn == STARS:
             break
         # only buckets that still hold several components go on
-        left = stored(open_.where("m > 2").select("band", "v", "id", "n", "m").join(now, "v"), "left")
+        left = stored(open_.where("m > 2").select("band", "v", "id", "n", "m").join(now.hint("merge"), "v"), "left")
         mixed = stored(left.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band"), "mixed")
-        open_ = stored(left.join(mixed, "band"), "open")
+        open_ = stored(left.join(mixed.hint("merge"), "band"), "open")
         if not open_.limit(1).count():
             break
-    return seen, now
+    return seen, stored(nodes.select("v", "digest").join(now.hint("merge"), "v").select("digest", F.col("label.id").alias("component_id")), "groups")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, bands: int = BANDS, band_rows: int = BAND_ROWS, digests: bool = False) -> DataFrame:
@@ -279,16 +295,15 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Plan: one pass over the texts gives each distinct word sequence a digest and its band hashes; copies fold into their least id before any band is shuffled. In each bucket of a
     band, members are compared with one centre (a star, not all pairs); links join components, and only buckets that still hold several components go on, with other
-    centres, and at last by the rarest shingles of those that are still apart (see _rest). So no link between components is lost, a bucket of n copies costs n comparisons, and no
+    centres, and at last in blocks, or by the rarest shingles of large buckets (see _rest). So no link between components is lost, a bucket of n copies costs n comparisons, and no
     list of all pairs is ever made. Sets are made again from the texts of candidates only. What a join brings back to a bucket's members is written first, so that Spark can
     split the members of a hot bucket over tasks.
     """
     with scratch() as kept:
-        seen, now = _grouped(rows(docs, id_col, text_col), percent, bands, band_rows, passed := ["text_sha256"] if digests else [])
-        kept += [seen, now]
-    label = now.select("v", F.col("label.id").alias("component_id"))
+        seen, groups = _grouped(rows(docs, id_col, text_col), percent, bands, band_rows, passed := ["text_sha256"] if digests else [])
+        kept += [seen, groups]
     return (
-        seen.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("v")).alias("v"), *passed).join(label, "v", "left")
+        seen.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"), *passed).join(groups.hint("merge"), "digest", "left")
         .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), *passed)
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
