@@ -37,7 +37,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     gone = stored(minhash.near_groups(docs, digests=True).where(~F.col("kept")).select("doc_id", "text_sha256").distinct(), "gone")
     i, t = fresh(docs, "id"), fresh(docs, "digest")
     keyed = docs.withColumns({i: F.col("doc_id").cast("long"), t: F.sha2(F.coalesce("text", F.lit("")), 256)})
-    return keyed.join(gone, (keyed[i] == gone["doc_id"]) & (keyed[t] == gone["text_sha256"]), "left_anti").drop(i, t)
+    return keyed.join(gone.hint("merge"), (keyed[i] == gone["doc_id"]) & (keyed[t] == gone["text_sha256"]), "left_anti").drop(i, t)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

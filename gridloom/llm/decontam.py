@@ -289,7 +289,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     row = fresh(docs, "row")
     d = stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
     bad = _scan_shuffled(rows(d, id_col, text_col, row=row), b).where(_holds_passage("n_words", "n_hit")).select(F.col("row").alias(row))
-    return d.join(stored(bad, "bad"), row, "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    return d.join(stored(bad, "bad").hint("merge"), row, "left_anti").select(*[f"`{c}`" for c in docs.columns])
 
 
 def verdict(found: DataFrame) -> DataFrame:

@@ -52,7 +52,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     i, t = fresh(docs, "id"), fresh(docs, "digest")
     keyed = docs.withColumns({i: F.col(f"`{id_col}`").cast("long"), t: F.sha2(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), 256)})
     same = keyed[t].eqNullSafe(gone["text_sha256"]) & keyed[i].eqNullSafe(gone["doc_id"])
-    out = keyed.join(gone, same, "left_anti")
+    out = keyed.join(gone.hint("merge"), same, "left_anti")
     if groups.where("not kept and doc_id <=> keep_id").limit(1).count():
         out = out.dropDuplicates([i, t])
     return out.drop(i, t)

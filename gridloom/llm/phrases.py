@@ -164,14 +164,14 @@ def _ranges(source: DataFrame, found: DataFrame, shard_windows: int, stream_byte
     recur = prints.groupBy("print").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("print")
     # written first, so that Spark can split the documents of a hot fingerprint over tasks
     recur = stored(recur, "recur")
-    asked = prints.join(recur, "print").groupBy("doc_id", "raw").agg(F.collect_list("print").alias("prints"))
-    texts = stored(source.join(asked, ["doc_id", "raw"]).select("doc_id", "raw", "text", "prints").dropDuplicates(["doc_id", "raw"]), "texts")
+    asked = prints.join(recur.hint("merge"), "print").groupBy("doc_id", "raw").agg(F.collect_list("print").alias("prints"))
+    texts = stored(source.join(asked.hint("merge"), ["doc_id", "raw"]).select("doc_id", "raw", "text", "prints").dropDuplicates(["doc_id", "raw"]), "texts")
     windows = stored(texts.mapInArrow(_windows, "w1 long, w2 long, doc_id long, at long"), "windows")
     release(prints, recur)
     held = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.max("doc_id").alias("hi")).where("first.doc_id < hi")
     held = stored(held.select("w1", "w2", F.col("first.doc_id").alias("origin"), F.col("first.at").alias("at")), "held")
     found_at = held.select("w1", "w2", "origin", F.floor(F.col("at") / STRETCH).alias("stretch"))
-    routes = stored(windows.join(found_at, ["w1", "w2"]).where("doc_id > origin").select("doc_id", "origin", "stretch").distinct(), "routes")
+    routes = stored(windows.join(found_at.hint("merge"), ["w1", "w2"]).where("doc_id > origin").select("doc_id", "origin", "stretch").distinct(), "routes")
     release(windows)
     places = held.groupBy(F.col("origin").alias("doc_id")).agg(F.collect_list("at").alias("places"))
     passages = stored(texts.select("doc_id", "text").join(places, "doc_id").mapInArrow(_passages, "origin long, stretch long, passages array<string>, n long"), "passages")
