@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from gridloom.shipping import ship
 
+#: Rows of a file, where few are known to come.
+ROWS_A_FILE = 100_000
 #: Bytes of one Arrow batch of whole rows, beyond its first row: what a Python worker holds at once.
 BATCH_BYTES = 4 << 20
 
@@ -44,9 +46,12 @@ def drop(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: it cuts lineage, survives lost executors and goes when the session ends."""
+def stored(df: DataFrame, name: str, most: int | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder: it cuts lineage, survives lost executors and goes when the session ends. most: a bound of its narrow rows, where it is known; a
+    file then holds ROWS_A_FILE of them, rather than each of many tasks writing one of a few rows."""
     spark = df.sparkSession
+    if most is not None:
+        df = df.coalesce(1 + most // ROWS_A_FILE)
     path = f"{shared_dir(spark)}/gridloom-{uuid.uuid4().hex}-{name}"
     df.write.option("compression", "zstd").parquet(path)
     _mine[path] = spark
@@ -115,21 +120,21 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """
     end = lambda v, x: nodes.select(F.col("v").alias(v), F.col("label").alias(x))
     pairs = links.join(end("a", "x"), "a").join(end("b", "y"), "b").select("x", "y").where("x <> y").distinct()
-    open_ = stored(pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"))), "links")
+    open_ = stored(pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"))), "links", 2 * links.count())
     hops = []
-    while open_.limit(1).count():
-        now = stored(open_.groupBy("x").agg(F.min("y").alias("up")), "hooks")
+    while n := open_.count():
+        now = stored(open_.groupBy("x").agg(F.min("y").alias("up")), "hooks", n)
         first = moved = True
         while moved:
             above = now.select(F.col("x").alias("up"), F.col("up").alias("top"))
             # a label's second ancestor is never greater than itself, so after the first step all but roots point to a lesser label
-            new = stored(now.join(above, "up").select("x", F.col("up").alias("was"), (F.least("up", "top") if first else F.col("top")).alias("up")), "hooks")
+            new = stored(now.join(above, "up").select("x", F.col("up").alias("was"), (F.least("up", "top") if first else F.col("top")).alias("up")), "hooks", n)
             moved = first or new.where(F.col("was") != F.col("up")).limit(1).count()
             release(now)
             now, first = new, False
         hops.append(now.select("x", "up"))
         root = lambda c, r, now=now: now.select(F.col("x").alias(c), F.col("up").alias(r))
-        new = stored(open_.join(root("x", "rx"), "x").join(root("y", "ry"), "y").where("rx <> ry").select(F.col("rx").alias("x"), F.col("ry").alias("y")).distinct(), "links")
+        new = stored(open_.join(root("x", "rx"), "x").join(root("y", "ry"), "y").where("rx <> ry").select(F.col("rx").alias("x"), F.col("ry").alias("y")).distinct(), "links", n)
         release(open_)
         open_ = new
     least = None

@@ -266,24 +266,22 @@ def _grouped(source: DataFrame, percent: int, bands: int, band_rows: int, passed
         fits = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("va") != F.col("vb"))
         return df.where(fits).select(F.least("va", "vb").alias("a"), F.greatest("va", "vb").alias("b")).distinct()
 
-    now, open_ = nodes.select("v", F.struct("id", "v").alias("label")), members
-    for turn in range(STARS + 1):
+    now, open_, turn, n = nodes.select("v", F.struct("id", "v").alias("label")), members, 0, nodes.count()
+    while m := open_.count():
         if turn < STARS:
             key = F.struct("id", "v", "n") if turn == 0 else F.struct(F.xxhash64("v", F.lit(turn)).alias("id"), "v", "n")
-            centre = stored(open_.groupBy("band").agg(F.min(key).alias("c")).select("band", F.col("c.v").alias("vb"), F.col("c.n").alias("nb")), "centres")
+            centre = stored(open_.groupBy("band").agg(F.min(key).alias("c")).select("band", F.col("c.v").alias("vb"), F.col("c.n").alias("nb")), "centres", m)
             new = compared(ordered(open_.join(centre.hint("merge"), "band").select(F.col("v").alias("va"), F.col("n").alias("na"), "vb", "nb")))
         else:
             new = _rest(open_, sets, percent, lambda pairs: compared(ordered(pairs)))
-        now = stored(components(now, new), "components")
-        if turn == STARS:
+        now, turn = stored(components(now, new), "components", n), turn + 1
+        if turn > STARS:
             break
         # only buckets that still hold several components go on
-        left = stored(open_.where("m > 2").select("band", "v", "id", "n", "m").join(now.hint("merge"), "v"), "left")
-        mixed = stored(left.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band"), "mixed")
-        open_ = stored(left.join(mixed.hint("merge"), "band"), "open")
-        if not open_.limit(1).count():
-            break
-    return seen, stored(nodes.select("v", "digest").join(now.hint("merge"), "v").select("digest", F.col("label.id").alias("component_id")), "groups")
+        left = stored(open_.where("m > 2").select("band", "v", "id", "n", "m").join(now.hint("merge"), "v"), "left", m)
+        mixed = stored(left.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("band"), "mixed", m)
+        open_ = stored(left.join(mixed.hint("merge"), "band"), "open", m)
+    return seen, stored(nodes.select("v", "digest").join(now.hint("merge"), "v").select("digest", F.col("label.id").alias("component_id")), "groups", n)
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, bands: int = BANDS, band_rows: int = BAND_ROWS, digests: bool = False) -> DataFrame:
