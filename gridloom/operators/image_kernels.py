@@ -35,12 +35,28 @@ def _separable(a: np.ndarray, kx, ky, border: str, kind) -> np.ndarray:
     h, w = a.shape[:2]
     rx, ry = len(kx) // 2, len(ky) // 2
     p = padded(a.astype(kind), ry, ry, rx, rx, border)
-    row = sum(p[:, i : i + w] * kind(k) for i, k in enumerate(kx) if k)
-    return sum(row[i : i + h] * kind(k) for i, k in enumerate(ky) if k)
+    row = _summed([p[:, i : i + w] for i in range(len(kx))], kx, kind)
+    return _summed([row[i : i + h] for i in range(len(ky))], ky, kind)
+
+
+def _summed(parts: list[np.ndarray], weights, kind) -> np.ndarray:
+    """The weighted sum, in the parts' order and type; a weight of 1 costs no product."""
+    out = None
+    for part, k in zip(parts, weights, strict=True):
+        if k:
+            x = part if k == 1 else part * kind(k)
+            out = x.copy() if out is None and k == 1 else x if out is None else np.add(out, x, out=out)
+    return out if out is not None else np.zeros_like(parts[0])
 
 
 def box(width: int, height: int, border: str = "REFLECT_101"):
+    # of bytes there are few sums: their rounded means are a table
+    sums = np.arange(width * height * 255 + 1)
+    means = saturated(sums.astype(np.float32) * np.float32(1 / (width * height)), "8U").astype(np.uint8)
+
     def step(a, depth):
+        if depth == "8U" and len(sums) <= 1 << 16:
+            return np.take(means, _separable(a, np.ones(width), np.ones(height), border, np.uint16)), depth
         s = _separable(a, np.ones(width), np.ones(height), border, np.int32 if depth == "8U" else np.float64)
         mean = s.astype(np.float32) * np.float32(1 / (width * height)) if depth == "8U" else s / (width * height)
         return _cast(saturated(mean, depth), depth), depth
@@ -55,7 +71,14 @@ def gaussian(size: int, sigma: float, border: str = "REFLECT_101"):
 
 def sobel(dx: int, dy: int, size: int = 3, to: str = "16S", border: str = "REFLECT_101"):
     kx, ky = kernels.deriv_kernels(dx, dy, size)
-    return lambda a, depth: (_cast(saturated(_separable(a, kx, ky, border, np.int32 if depth == "8U" else np.float64), to), to), to)
+    narrow = 255 * np.abs(kx).sum() * np.abs(ky).sum() < 1 << 15
+
+    def step(a, depth):
+        if depth == "8U" and narrow and to == "16S":
+            return _separable(a, kx, ky, border, np.int16), to
+        return _cast(saturated(_separable(a, kx, ky, border, np.int32 if depth == "8U" else np.float64), to), to), to
+
+    return step
 
 
 def laplacian(to: str = "16S", border: str = "REFLECT_101"):
@@ -130,8 +153,13 @@ def to_gray(rgb: bool = False):
 
 
 def lut(table: np.ndarray):
-    t = np.asarray(table, dtype=np.uint8)
-    return lambda a, depth: (t[a], depth)
+    t = np.asarray(table, dtype=np.uint8).tobytes()
+    return lambda a, depth: (_looked_up(a, t), depth)
+
+
+def _looked_up(a: np.ndarray, table: bytes) -> np.ndarray:
+    """A table over bytes, by the interpreter's own translation, which needs no index array."""
+    return np.frombuffer(a.tobytes().translate(table), dtype=np.uint8).reshape(a.shape)
 
 
 def equalize():
@@ -141,7 +169,7 @@ def equalize():
         if n[first] == a.size:
             return a, depth
         up = (np.cumsum(n) - n[first]).astype(np.float32) * (np.float32(255) / np.float32(a.size - n[first]))
-        return np.clip(np.rint(up), 0, 255).astype(np.uint8)[a], depth
+        return _looked_up(a, np.clip(np.rint(up), 0, 255).astype(np.uint8).tobytes()), depth
 
     return step
 

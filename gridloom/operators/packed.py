@@ -17,6 +17,8 @@ from gridloom.matrix import DEPTHS, NUMPY, Mat, Meta, require
 from gridloom.shipping import ship
 
 SCHEMA = "mat_id string, rows int, cols int, channels int, depth string, data binary"
+#: Bytes of matrices in one record batch of results.
+BATCH_BYTES = 4 << 20
 _ARROW = pa.schema([("mat_id", pa.string()), ("rows", pa.int32()), ("cols", pa.int32()), ("channels", pa.int32()), ("depth", pa.string()), ("data", pa.binary())])
 
 
@@ -29,18 +31,56 @@ def as_row(mat_id: str, a: np.ndarray, depth: str) -> dict:
     return {"mat_id": mat_id, "rows": a.shape[0], "cols": a.shape[1], "channels": a.shape[2], "depth": depth, "data": np.ascontiguousarray(a, dtype=NUMPY[depth]).tobytes()}
 
 
+def arrays(batch: pa.RecordBatch, prefix: str = ""):
+    """(mat_id, array, depth) of each row, on the bytes as Arrow holds them: nothing is copied."""
+    col = lambda c: batch[prefix + c] if prefix + c in batch.schema.names else batch[c]
+    data = col("data")
+    _, offsets, values = data.buffers()
+    at = np.frombuffer(offsets, dtype=np.int64 if pa.types.is_large_binary(data.type) else np.int32)[data.offset : data.offset + len(data) + 1].tolist()
+    facts = zip(*(col(c).to_pylist() for c in ("mat_id", "rows", "cols", "channels", "depth")), strict=True)
+    for i, (mat_id, rows, cols, channels, depth) in enumerate(facts):
+        kind = np.dtype(NUMPY[depth])
+        a = np.frombuffer(values, dtype=kind, count=(at[i + 1] - at[i]) // kind.itemsize, offset=at[i]) if at[i + 1] > at[i] else np.zeros(0, dtype=kind)
+        yield mat_id, a.reshape(rows, cols, channels), depth
+
+
+def gathered(found, more: tuple = ()):
+    """Record batches of about BATCH_BYTES, or of one matrix that is larger, from (mat_id, array, depth, *values of more)."""
+    schema = pa.schema([*_ARROW, *more])
+
+    def batch(rows: list) -> pa.RecordBatch:
+        flat = [np.ascontiguousarray(np.atleast_3d(a), dtype=NUMPY[depth]) for _, a, depth, *_ in rows]
+        offsets = np.concatenate(([0], np.cumsum([a.nbytes for a in flat]))).astype(np.int32)
+        data = flat[0].tobytes() if len(flat) == 1 else np.concatenate([a.reshape(-1).view(np.uint8) for a in flat])
+        binary = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+        sizes = [pa.array([a.shape[k] for a in flat], pa.int32()) for k in range(3)]
+        own = [pa.array([r[3 + k] for r in rows], t) for k, (_, t) in enumerate(more)]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), *sizes, pa.array([r[2] for r in rows], pa.string()), binary, *own], schema=schema)
+
+    rows, size = [], 0
+    for r in found:
+        if rows and size + r[1].nbytes > BATCH_BYTES:
+            yield batch(rows)
+            rows, size = [], 0
+        rows.append(r)
+        size += r[1].nbytes
+    if rows:
+        yield batch(rows)
+
+
 def map_mats(packed: DataFrame, *steps: Callable[[np.ndarray, str], tuple[np.ndarray, str]]) -> DataFrame:
     """steps: (array, depth) to (array, depth), one after the other for each matrix, all in one pass."""
     ship(packed.sparkSession)
 
     def run(batches):
-        for batch in batches:
-            # one matrix at a time: a batch's results may be larger than the batch
-            for row in batch.to_pylist():
-                a, depth = as_array(row), row["depth"]
-                for step in steps:
-                    a, depth = step(a, depth)
-                yield pa.RecordBatch.from_pylist([as_row(row["mat_id"], a, depth)], schema=_ARROW)
+        def found():
+            for batch in batches:
+                for mat_id, a, depth in arrays(batch):
+                    for step in steps:
+                        a, depth = step(a, depth)
+                    yield mat_id, a, depth
+
+        return gathered(found())
 
     return packed.mapInArrow(run, SCHEMA)
 
@@ -51,11 +91,7 @@ def zip_mats(a: DataFrame, b: DataFrame, step: Callable[[np.ndarray, np.ndarray,
     other = b.select("mat_id", *[F.col(c).alias(f"b_{c}") for c in ("rows", "cols", "channels", "depth", "data")])
 
     def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                right = as_array({k[2:]: v for k, v in row.items() if k.startswith("b_")})
-                out, depth = step(as_array(row), right, row["depth"])
-                yield pa.RecordBatch.from_pylist([as_row(row["mat_id"], out, depth)], schema=_ARROW)
+        return gathered((mat_id, *step(x, y, depth)) for batch in batches for (mat_id, x, depth), (_, y, _) in zip(arrays(batch), arrays(batch, "b_"), strict=True))
 
     return a.join(other, "mat_id").mapInArrow(run, SCHEMA)
 
@@ -81,11 +117,10 @@ def unpack(packed: DataFrame, meta: Meta) -> Mat:
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                a = as_array(row)
+            for mat_id, a, depth in arrays(batch):
                 y, x, c = (i.ravel().astype(np.int32) for i in np.indices(a.shape))
-                v = pa.array(a.ravel().astype(np.float32) if row["depth"] == "16F" else a.ravel().astype(a.dtype.newbyteorder("="))).cast(kind)
-                yield pa.RecordBatch.from_arrays([pa.array([row["mat_id"]] * a.size), pa.array(y), pa.array(x), pa.array(c), v], names=["mat_id", "y", "x", "c", "v"])
+                v = pa.array(a.ravel().astype(np.float32) if depth == "16F" else a.ravel().astype(a.dtype.newbyteorder("="))).cast(kind)
+                yield pa.RecordBatch.from_arrays([pa.array([mat_id] * a.size), pa.array(y), pa.array(x), pa.array(c), v], names=["mat_id", "y", "x", "c", "v"])
 
     return Mat(packed.mapInArrow(run, f"mat_id string, y int, x int, c int, v {DEPTHS[meta.depth][2]}"), meta)
 
@@ -150,17 +185,22 @@ def align_precision(a: DataFrame, precision: str) -> DataFrame:
 
 
 def parallel_for(packed: DataFrame, body: Callable[[np.ndarray, int, int], np.ndarray], stripes: int) -> DataFrame:
-    """body: (rows of a matrix, first row, last row) to as many rows; matrices are cut into stripes that run as separate rows of the relation, and put together by one shuffle."""
+    """body: (rows of a matrix, first row, last row) to as many rows; matrices are cut into stripes that run as separate rows of the relation, and put together by one shuffle.
+    A stripe carries its own bytes only: the cut is a slice of the binary column."""
     ship(packed.sparkSession)
-    cut = packed.withColumn("stripe", F.explode(F.sequence(F.lit(0), F.least(F.lit(stripes), F.greatest("rows", F.lit(1))) - 1))).withColumn("n", F.least(F.lit(stripes), F.greatest("rows", F.lit(1))))
-    schema = pa.schema([*_ARROW, ("stripe", pa.int32())])
+    size = F.element_at(F.create_map(*[F.lit(x) for d, t in NUMPY.items() for x in (d, np.dtype(t).itemsize)]), F.col("depth"))
+    n = F.least(F.lit(stripes), F.greatest("rows", F.lit(1)))
+    line = F.col("cols") * F.col("channels") * size
+    cut = packed.withColumn("n", n).withColumn("stripe", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("lo", F.expr("rows * stripe div n").cast("int")).withColumn("hi", F.expr("rows * (stripe + 1) div n").cast("int"))
+    cut = cut.withColumn("data", F.substring(F.col("data"), F.col("lo") * line + 1, (F.col("hi") - F.col("lo")) * line)).withColumn("rows", F.col("hi") - F.col("lo")).drop("hi", "n").repartition(F.col("mat_id"), F.col("stripe"))
 
     def run(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                lo, hi = row["rows"] * row["stripe"] // row["n"], row["rows"] * (row["stripe"] + 1) // row["n"]
-                out = as_row(row["mat_id"], body(as_array(row)[lo:hi], lo, hi), row["depth"])
-                yield pa.RecordBatch.from_pylist([out | {"stripe": row["stripe"]}], schema=schema)
+        def found():
+            for batch in batches:
+                for (mat_id, a, depth), stripe, lo in zip(arrays(batch), batch["stripe"].to_pylist(), batch["lo"].to_pylist(), strict=True):
+                    yield mat_id, body(a, lo, lo + len(a)), depth, stripe
+
+        return gathered(found(), (("stripe", pa.int32()),))
 
     def join(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["stripe"])
