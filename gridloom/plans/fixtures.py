@@ -17,11 +17,11 @@ def pattern(spark: SparkSession, rows: int = 32, cols: int = 48, channels: int =
     return Mat(_px(df.selectExpr("y", "x", "ch", "cast((37 * y + 19 * x + 53 * ch) % 256 as int) v")), Meta(rows, cols, channels))
 
 
-def heat(spark: SparkSession, sf_dir: str) -> Mat:
+def heat(spark: SparkSession, sf_dir: str, rows: int = 64) -> Mat:
     """Events by user and half-hour of the day, 64 x 48, 8U."""
-    n = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("cast(user_id % 64 as int) y", "cast(hour(ts) * 2 + minute(ts) div 30 as int) x").groupBy("y", "x").count()
-    grid = spark.range(64 * 48).selectExpr("cast(id div 48 as int) y", "cast(id % 48 as int) x")
-    return Mat(_px(grid.join(n, ["y", "x"], "left").selectExpr("y", "x", "0 ch", "cast(least(coalesce(count, 0) * 16, 255) as int) v")), Meta(64, 48))
+    n = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr(f"cast(user_id % {rows} as int) y", "cast(hour(ts) * 2 + minute(ts) div 30 as int) x").groupBy("y", "x").count()
+    grid = spark.range(rows * 48).selectExpr("cast(id div 48 as int) y", "cast(id % 48 as int) x")
+    return Mat(_px(grid.join(n, ["y", "x"], "left").selectExpr("y", "x", "0 ch", "cast(least(coalesce(count, 0) * 16, 255) as int) v")), Meta(rows, 48))
 
 
 def ship(spark: SparkSession, sf_dir: str) -> Mat:
@@ -33,12 +33,10 @@ def ship(spark: SparkSession, sf_dir: str) -> Mat:
     return Mat(_px(grid.join(n, ["y", "x", "ch"], "left").selectExpr("y", "x", "ch", "cast(least(coalesce(`sum(q)`, 0), 255) as int) v")), Meta(64, 64, 3))
 
 
-def emb(spark: SparkSession, sf_dir: str, rows: int | None = None) -> Mat:
+def emb(spark: SparkSession, sf_dir: str) -> Mat:
     """Embeddings as a matrix of 32F, one row each."""
     t = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    if rows:
-        t = t.where(f"vec_id < {rows}")
-    return Mat(_px(t.selectExpr("cast(vec_id as int) y", "posexplode(embedding) as (x, v)").selectExpr("y", "x", "0 ch", "v")), Meta(rows or t.count(), 64, 1, "32F"))
+    return Mat(_px(t.selectExpr("cast(vec_id as int) y", "posexplode(embedding) as (x, v)").selectExpr("y", "x", "0 ch", "v")), Meta(t.count(), 64, 1, "32F"))
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,13 +58,13 @@ SQL = {
     "daily": """select g.f, g.y, g.x, 0 c, coalesce(n.n, 0)::int v from (select f::int f, y::int y, x::int x from range(1, 8) e(f), range(0, 16) a(y), range(0, 24) b(x)) g
         left join (select (dayofweek(ts) + 1)::int f, (user_id % 16)::int y, hour(ts)::int x, count(*) n from events group by 1, 2, 3) n on g.f = n.f and g.y = n.y and g.x = n.x""",
 }
-SQL["gray"] = f"select y, x, 0 c, v from ({SQL['heat']}) where y < 32"
+SQL["gray"] = SQL["heat"].replace("range(0, 64) a", "range(0, 32) a").replace("user_id % 64", "user_id % 32")
 SQL["p1"] = f"select y, x, c, v from ({SQL['pattern']}) where c = 0"
 
 
 def gray(spark: SparkSession, sf_dir: str) -> Mat:
-    """The heat map's upper half, as large as the pattern."""
-    return heat(spark, sf_dir).roi(0, 32, 0, 48).clone()
+    """A heat map of all events that is as large as the pattern."""
+    return heat(spark, sf_dir, 32)
 
 
 def p1(spark: SparkSession, sf_dir: str) -> Mat:

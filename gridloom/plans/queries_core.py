@@ -132,6 +132,7 @@ query("set_to", lambda s, d: pattern(s).set_to([1.4, 2.6, 300]), "select y, x, c
 query("mat_full", lambda s, d: Mat.full(s, Meta(5, 7, 2, "16S"), [3, -40000]), "select y::int y, x::int x, c::int c, case c when 0 then 3 else -32768 end v from range(0, 5) a(y), range(0, 7) b(x), range(0, 2) d(c)")
 query("mat_facts", lambda s, d: pattern(s).facts(), "select 32 rows, 48 cols, 3 channels, '8U' depth, 3 elem_size, 1 elem_size1, 1536 total, 144 step, false empty")
 query("from_rows", lambda s, d: Mat.from_rows(s.read.parquet(f"{d}/nation.parquet"), Meta(5, 25, 1, "32S"), "n_regionkey", "n_nationkey", v="n_nationkey"), "select y::int y, x::int x, 0 c, coalesce(n_nationkey, 0)::int v from range(0, 5) a(y) cross join range(0, 25) b(x) left join nation on n_regionkey = y and n_nationkey = x")
+query("swapped", lambda s, d: lo.swap(p1(s, d), gray(s, d))[0], "select y, x, c, v from gray")
 query("copy_masked", lambda s, d: lo.copy_to(p1(s, d), gray(s, d)), PAIR.format("case when g.v <> 0 then p.v else 0 end::int"))
 query("split_third", lambda s, d: lo.split(pattern(s))[2], "select y, x, 0 c, v from pattern where c = 2")
 query("merge_round_trip", lambda s, d: lo.merge(lo.split(ship(s, d))), "select y, x, c, v from ship")
@@ -157,9 +158,6 @@ query("broadcast_nd", lambda s, d: _flat(lo.broadcast_nd(nd(s).where("idx[1] = 0
 
 # products
 
-top = lambda s, d: emb(s, d, 64)
-_GRAM = "from emb a join emb b on a.x = b.x where a.y < 64 and b.y < 64 group by a.y, b.y"
-query("gemm_gram", lambda s, d: la.gemm(top(s, d), top(s, d), trans_b=True).px.select("y", "x", F.round(F.col("v").cast("double"), 3).alias("v")), f"select a.y, b.y x, round(sum(a.v::double * b.v::double)::float::double, 3) v {_GRAM}")
 query("gemm_gram_columns", lambda s, d: la.gemm(emb(s, d), emb(s, d), trans_a=True).px.select("y", "x", F.round(F.col("v").cast("double"), 3).alias("v")), "select a.x y, b.x, round(sum(a.v::double * b.v::double)::float::double, 3) v from emb a join emb b on a.y = b.y group by a.x, b.x")
 query("gemm_nn", lambda s, d: la.gemm(p1(s, d), lo.transpose(gray(s, d))).px.select("y", "x", F.col("v").cast("double").alias("v")), "select p.y, g.y x, sum(p.v * g.v)::double v from p1 p join gray g on p.x = g.x group by p.y, g.y")
 query("gemm_ta", lambda s, d: la.gemm(p1(s, d), gray(s, d), trans_a=True).px.select("y", "x", F.col("v").cast("double").alias("v")), "select p.x y, g.x, sum(p.v * g.v)::double v from p1 p join gray g on p.y = g.y group by p.x, g.x")

@@ -148,7 +148,7 @@ def _taps(k) -> list:
 ONES3, ONES5 = _taps(np.ones((3, 3))), _taps(np.ones((5, 5)))
 _MEAN3 = "least(round((v::float * (1.0 / 9)::float)::double), 255)::int"
 query("adaptive_threshold_mean", lambda s, d: it.adaptive_threshold(heat(s, d), 255, "MEAN", "BINARY", 3, 2.5), f"select h.y, h.x, h.c, case when h.v - {_MEAN3.replace('v::', 's.v::')} > -3 then 255 else 0 end v from heat h join s using (y, x)", f"s as ({conv(ONES3, 'REPLICATE')})")
-query("adaptive_threshold_gaussian", lambda s, d: it.adaptive_threshold(heat(s, d), 255, "GAUSSIAN", "BINARY_INV", 3, 2.5))
+query("adaptive_threshold_gaussian", lambda s, d: it.adaptive_threshold(heat(s, d), 255, "GAUSSIAN", "BINARY_INV", 3, 2.5), "select h.y, h.x, h.c, case when h.v - least(round(s.v), 255)::int > -2 then 0 else 255 end v from heat h join s using (y, x)", f"s as ({conv(_taps(np.outer(kn.blur_gaussian(3, 0), kn.blur_gaussian(3, 0))), 'REPLICATE')})")
 query("heat_equalize_hist", lambda s, d: it.equalize_hist(heat(s, d)), "select heat.y, heat.x, heat.c, t.t v from heat join t using (v)", "h as (select v, count(*) n from heat group by v)", "t as (select v, least(round_even(((sum(n) over (order by v) - first(n) over (order by v))::float * (255::float / (sum(n) over () - first(n) over (order by v))::float))::double, 0), 255)::int t from h)")
 query("histogram", lambda s, d: it.histogram(heat(s, d)).select("v", "n"), "select v, count(*) n from heat group by v")
 query("heat_lut_invert", lambda s, d: it.lut(heat(s, d), 255 - np.arange(256), "8U"), "select y, x, c, 255 - v v from heat")
@@ -217,7 +217,10 @@ _CANNY = (
     "grown as (select y, x from weak where a > 400 union select w.y, w.x from grown q join weak w on abs(w.y - q.y) <= 1 and abs(w.x - q.x) <= 1)",
 )
 query("canny", lambda s, d: cn.canny(heat(s, d), 400, 200), "select h.y, h.x, h.c, case when q.y is null then 0 else 255 end v from heat h left join grown q on q.y = h.y and q.x = h.x", *_CANNY)
-query("canny_l2", lambda s, d: cn.canny(heat(s, d), 300, 150, 3, True))
+_EDGES = "select h.y, h.x, h.c, case when q.y is null then 0 else 255 end v from heat h left join grown q on q.y = h.y and q.x = h.x"
+_L2 = [t.replace("abs(gx.v) + abs(gy.v) a", "sqrt(gx.v * gx.v + gy.v * gy.v)::float a").replace("a > 200", "a > 150").replace("a > 400", "a > 300").replace("coalesce(b.a, 0) b, coalesce(e.a, 0) e", "coalesce(b.a, 0)::float b, coalesce(e.a, 0)::float e") for t in _CANNY]
+query("canny_l2", lambda s, d: cn.canny(heat(s, d), 300, 150, 3, True), _EDGES, *_L2)
+query("canny_of_derivatives", lambda s, d: cn.canny_gradients(*(fi.sobel(heat(s, d), a, b, 3, "16S", border="REPLICATE") for a, b in ((1, 0), (0, 1))), 400, 200), _EDGES, *_CANNY)
 
 # morphology
 
@@ -284,5 +287,6 @@ query("remap_nearest", lambda s, d: ge.remap(heat(s, d), maps(s), 40, 50, "NEARE
 query("convert_maps", lambda s, d: ge.convert_maps(maps(s)), f"select y::int y, x::int x, floor(sx)::int ix, floor(sy)::int iy, ((sx - floor(sx)) * 32)::int fx, ((sy - floor(sy)) * 32)::int fy from ({_Q32.format(_MAPS)})")
 query("convert_maps_nearest", lambda s, d: ge.convert_maps(maps(s), nearest=True), f"select y::int y, x::int x, round_even(sx, 0)::int ix, round_even(sy, 0)::int iy from ({_MAPS})")
 query("rect_sub_pix", lambda s, d: ge.rect_sub_pix(heat(s, d), 9, 11, (10.3, 4.6)), bilinear("select *, floor(sy)::int y0, floor(sx)::int x0 from (select y, x, y + (4.6::double - 4) sy, x + (10.3::double - 5) sx from range(0, 9) a(y), range(0, 11) b(x))"))
+query("resize_gray_threshold", lambda s, d: it.threshold(co.convert(ge.resize(ship(s, d), 32, 32), "BGR2GRAY"), 96, 255), "select y, x, 0 c, case when ((7471 * b + 38470 * g + 19595 * r + 32768) >> 16) > 96 then 255 else 0 end v from m", WIDE, "m as (select (y // 2)::int y, (x // 2)::int x, ((sum(b) + 2) // 4)::int b, ((sum(g) + 2) // 4)::int g, ((sum(r) + 2) // 4)::int r from w group by 1, 2)")
 query("channel_wise_pipeline", lambda s, d: it.threshold(co.convert(ge.resize(ship(s, d), 48, 64, interpolation="NEAREST"), "BGR2GRAY"), 96, 255), "select a.y::int y, w.x, 0 c, case when ((7471 * b + 38470 * g + 19595 * r + 32768) >> 16) > 96 then 255 else 0 end v from range(0, 48) a(y) join w on w.y = a.y * 64 // 48", WIDE)
 query("flip_of_filtered", lambda s, d: lo.flip(fi.median_blur(heat(s, d), 3), 1), f"select y, (47 - x)::int x, c, v from ({conv(ONES3, 'REPLICATE', 'list_sort(list(s.v))[5]')})")

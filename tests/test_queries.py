@@ -8,7 +8,8 @@ from gridloom.plans import registry
 NAMES = """arith_add_sat arith_div_round arith_compare_gt binary_mod_signed binary_bitshift scalar_add_lanes expr_chain in_range convert_scale_abs math_log check_range
 mean_masked norm_diff_l2 find_non_zero min_max_loc reduce_rows_sum reduce_argmax_last normalize_l1_masked rotate_90_cw reshape mix_channels copy_make_border_reflect transpose_nd gemm_int8_scaled argmax_tokens
 structuring_ellipse gabor_kernel ship_bgr2yuv yuv2bgr_nv12 bgr2yuv_yv12 yuv2rgb_uyvy demosaic_gb heat_otsu heat_triangle adaptive_threshold_mean heat_equalize_hist heat_colormap_jet accumulate_weighted_daily blend_linear
-box3x3_constant filter2d_sharpen_reflect_101 median3 bilateral sobel_roi_sees_parent integral canny morph_tophat hitmiss pyrdown pyrup resize_linear warp_affine_linear warp_perspective remap rect_sub_pix""".split()
+box3x3_constant filter2d_sharpen_reflect_101 median3 bilateral sobel_roi_sees_parent integral canny morph_tophat hitmiss pyrdown pyrup resize_linear warp_affine_linear warp_perspective remap rect_sub_pix
+swapped convert_fp16_bits image_pnm adaptive_threshold_gaussian canny_l2 canny_of_derivatives resize_gray_threshold""".split()
 
 
 @pytest.mark.parametrize("name", NAMES)
