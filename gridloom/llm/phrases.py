@@ -208,7 +208,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     release(texts, *tables)
     cut = cut.join(per, ["doc_id", "raw"])
     found = found.drop("prints")
-    least = found.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("least"))
+    # written first, so that Spark can split the rows of a text with many copies over tasks
+    least = found.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")).where("least < last").drop("last")
+    least = stored(least, "copies").hint("merge")
     copy = F.coalesce((F.col("doc_id") > F.col("least")) & (F.col("n_words") >= SPAN), F.lit(False))
     whole = F.array(F.struct(F.lit(0).cast("long").alias("from"), F.col("n_words").alias("upto")))
     return found.join(least, "digest", "left").join(cut, ["doc_id", "raw"], "left").select(
