@@ -20,13 +20,16 @@ def labelled(docs: DataFrame, labels: DataFrame, n_rows: int = ROWS, n_bytes: in
     sizes = docs.where(~held_out() & F.col("doc_id").isNotNull()).select("doc_id", F.octet_length("text").alias("bytes"))
     key = F.xxhash64("doc_id")
     listed = sizes.join(labels.where("label is not null").select("doc_id", "label"), "doc_id").orderBy(key, "doc_id", "bytes").limit(n_rows).collect()
-    chosen, total = {}, 0
+    chosen, total, n = {}, 0, 0
     for r in listed:
         if total + r["bytes"] <= n_bytes:
             total += r["bytes"]
-            chosen[r["doc_id"]] = r["label"]
+            n += 1
+            chosen[r["doc_id"], r["bytes"]] = r["label"]
     if not chosen:
         return []
-    ids = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in sorted(chosen)], "doc_id long"))
-    texts = docs.select("doc_id", "text").where(F.octet_length("text") <= n_bytes).join(ids, "doc_id").orderBy(key, "doc_id", F.octet_length("text"), "text").limit(n_rows).collect()
-    return [(r["text"], chosen[r["doc_id"]]) for r in texts]
+    # an id may repeat: only rows of the sizes that were counted are read, and no more of them
+    size = F.octet_length("text")
+    ids = F.broadcast(docs.sparkSession.createDataFrame(sorted(chosen), "doc_id long, bytes int"))
+    texts = docs.select("doc_id", "text", size.alias("bytes")).join(ids, ["doc_id", "bytes"]).orderBy(key, "doc_id", "bytes", "text").limit(n).collect()
+    return [(r["text"], chosen[r["doc_id"], r["bytes"]]) for r in texts]
