@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import rows
+from gridloom.llm.common import once, rows
 
 #: Bytes in one generation of a worker's cache, counting so many for an entry besides its content; characters of a unit that may be kept.
 CACHE_BYTES, ENTRY_BYTES, UNIT = 32 << 20, 160, 64
@@ -300,18 +300,6 @@ def _groups(texts: list[str], size: int = 1 << 20):
         yield group
 
 
-_state: dict = {}
-
-
-def _once(kind, shared):
-    """One per worker and vocabulary, kept over tasks."""
-    key = (kind, shared.id if hasattr(shared, "id") else id(shared))
-    if key not in _state:
-        _state.clear()
-        _state[key] = kind(shared.value)
-    return _state[key]
-
-
 def token_counts(docs: DataFrame, path: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit), for a word vocabulary (NFC, lower case, white space dropped, word ends).
 
@@ -321,7 +309,7 @@ def token_counts(docs: DataFrame, path: str, limit: int, id_col: str = "doc_id",
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(path))
 
     def run(batches):
-        counts = _once(Counts, shared)
+        counts = once(Counts, shared)
         for batch in batches:
             texts = batch["text"].to_pylist()
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["n_bytes"], pa.array([counts.tokens(t) for t in texts], pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
@@ -339,7 +327,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     names = {"n_tokens": "long"} | ({"ids": "array<int>"} if ids else {}) | ({"decoded": "string"} if decoded else {}) | ({"ids_sha256": "string", "decoded_sha256": "string"} if digests else {})
 
     def run(batches):
-        encoder = _once(Encoder, shared)
+        encoder = once(Encoder, shared)
         for batch in batches:
             out: dict[str, list] = {n: [] for n in names}
             for group in _groups(batch["text"].to_pylist()):

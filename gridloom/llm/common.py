@@ -19,6 +19,7 @@ ROWS_A_FILE = 100_000
 BATCH_BYTES = 4 << 20
 
 _mine: dict[str, SparkSession] = {}
+_kept: dict = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -104,6 +105,20 @@ def rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more:
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"), *extra)
 
 
+def once(kind, shared):
+    """In a worker: what kind makes of a broadcast's value, kept over tasks. One thing at a time, so that workers that Spark uses again don't pile up tables."""
+    key = (kind, shared.id if hasattr(shared, "id") else id(shared))
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = kind(shared.value)
+    return _kept[key]
+
+
+def forget() -> None:
+    """In a worker: frees what another operator keeps there. Called where a stage begins that keeps nothing."""
+    _kept.clear()
+
+
 def held_out(doc_id: Column | str = "doc_id") -> Column:
     """The rows that no model may learn from: crc32 of the id as text, modulo 4, is 2. A null id is held out."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from gridloom.llm import textblocks as tb
-from gridloom.llm.common import fresh, held_out, rows
+from gridloom.llm.common import forget, fresh, held_out, rows
 from gridloom.llm.sampling import labelled
 
 #: Weights for affixes and n-grams; words in a language's lexicon; words in one chain of the training text, and in one piece of a document's chain.
@@ -296,6 +296,7 @@ def _judged(docs: DataFrame, at: str, field: Field, lang: str, score: str, passe
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
     def run(batches):
+        forget()
         for batch in batches:
             names, scores = [], [np.zeros(0)]
             for b in tb.blocks(batch[at], 1 << 18):

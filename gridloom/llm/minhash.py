@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from gridloom.llm import textblocks as tb
-from gridloom.llm.common import components, rows, scratch, stored
+from gridloom.llm.common import components, forget, rows, scratch, stored
 
 SHINGLE = 5
 #: At a similarity of 0.85 a pair misses all bands with a chance of (1 - 0.85 ** 4) ** 20 = 4e-7.
@@ -84,6 +84,7 @@ def _digest(text: bytes) -> str:
 
 def _describe(bands: int, band_rows: int, passed: list[str]):
     def run(batches):
+        forget()
         for batch in batches:
             n, digests, hashes = [], [], []
             for b in tb.blocks(batch["text"]):
@@ -100,6 +101,7 @@ def _describe(bands: int, band_rows: int, passed: list[str]):
 
 def _sets(batches):
     """v, set (bytes of sorted 64-bit hashes) of the rows whose text has the digest that was asked for."""
+    forget()
     for batch in batches:
         v, out, asked, node = [], [], batch["digest"].to_pylist(), batch["v"].to_pylist()
         for b in tb.blocks(batch["text"]):
@@ -114,6 +116,7 @@ def _similar(percent: int):
     """The pairs that are linked."""
 
     def run(batches):
+        forget()
         for batch in batches:
             same = []
             for x, y in zip(batch["sa"], batch["sb"], strict=True):
