@@ -16,18 +16,18 @@ from gridloom.shipping import ship
 def _grown(table: pa.Table) -> pa.Table:
     """Of one matrix's thinned weak pixels, those whose 8-connected component holds a strong one."""
     y, x, strong = (table[c].to_numpy() for c in ("y", "x", "strong"))
-    place = {p: i for i, p in enumerate(zip(y.tolist(), x.tolist(), strict=True))}
-    seen = np.zeros(len(y), dtype=bool)
-    stack = np.flatnonzero(strong).tolist()
-    seen[stack] = True
-    while stack:
-        i = stack.pop()
-        for dy in (-1, 0, 1):
-            for dx in (-1, 0, 1):
-                j = place.get((int(y[i]) + dy, int(x[i]) + dx))
-                if j is not None and not seen[j]:
-                    seen[j] = True
-                    stack.append(j)
+    # places as sorted numbers; a front of them moves on, and each place is in it once
+    wide = np.int64(x.max()) + 3
+    order = np.argsort(key := y * wide + x)
+    key, seen = key[order], strong[order].astype(bool)
+    around = np.array([dy * wide + dx for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx])
+    front = np.flatnonzero(seen)
+    while len(front):
+        near = (key[front][:, None] + around).ravel()
+        at = np.minimum(np.searchsorted(key, near), len(key) - 1)
+        front = np.unique(at[(key[at] == near) & ~seen[at]])
+        seen[front] = True
+    seen[order] = seen.copy()
     return table.filter(pa.array(seen)).select(["mat_id", "y", "x"])
 
 

@@ -89,17 +89,40 @@ def laplacian(to: str = "16S", border: str = "REFLECT_101"):
     return step
 
 
+def _middle(planes: list[np.ndarray]) -> np.ndarray:
+    """The median of each place's values, whose number is odd. Of more than half of them the least and the largest are not it: both go, and a value not seen yet comes in."""
+    m = len(planes) // 2 + 2
+    own, rest = planes[:m], planes[m:]
+    while len(own) > 1:
+        n = len(own)
+        low = [np.minimum(own[i], own[n - 1 - i]) for i in range(n // 2)] + own[n // 2 : n // 2 + n % 2]
+        high = [np.maximum(own[i], own[n - 1 - i]) for i in range(n // 2)] + own[n // 2 : n // 2 + n % 2]
+        least, largest = low[0], high[0]
+        kept_low, kept_high = [], []
+        for x in low[1 : n // 2]:
+            kept_low.append(np.maximum(least, x))
+            least = np.minimum(least, x)
+        for x in high[1 : n // 2]:
+            kept_high.append(np.minimum(largest, x))
+            largest = np.maximum(largest, x)
+        if n % 2:
+            x = own[n // 2]
+            # one value for three: what is neither the least nor the largest stays
+            x, least = np.maximum(x, least), np.minimum(x, least)
+            x, largest = np.minimum(x, largest), np.maximum(x, largest)
+            kept_low.append(x)
+        own = kept_low + kept_high + rest[:1]
+        rest = rest[1:]
+    return own[0]
+
+
 def median(size: int):
     def step(a, depth):
         h, w = a.shape[:2]
         p = padded(a, size // 2, size // 2, size // 2, size // 2, "REPLICATE")
         planes = [p[i : i + h, j : j + w] for i in range(size) for j in range(size)]
-        if size == 3:
-            # least of the largest, median of the middle, largest of the least of sorted triples
-            t = [np.sort(np.stack(planes[i : i + 3]), axis=0) for i in (0, 3, 6)]
-            lo, mid, hi = (np.stack([x[i] for x in t]) for i in range(3))
-            m = np.stack([lo.max(axis=0), np.sort(mid, axis=0)[1], hi.min(axis=0)])
-            return np.sort(m, axis=0)[1], depth
+        if depth in _LIMITS:
+            return _middle(planes), depth
         n = size * size // 2
         return np.partition(np.stack(planes), n, axis=0)[n], depth
 
@@ -212,6 +235,155 @@ def resize_linear(rows: int, cols: int):
     return step
 
 
+def _shifted(v: np.ndarray, bits: int) -> np.ndarray:
+    """v / 2 ** bits, rounded to even."""
+    return (v + v.dtype.type((1 << bits - 1) - 1) + (v >> bits & 1)) >> bits
+
+
 def pyr_down(border: str = "REFLECT_101"):
-    k = np.array([1, 4, 6, 4, 1])
-    return lambda a, depth: (_cast(saturated(_separable(a, k, k, border, np.int32)[::2, ::2] / 256, depth, even=True), depth), depth)
+    k = (1, 4, 6, 4, 1)
+
+    def step(a, depth):
+        h, w = a.shape[:2]
+        if depth != "8U":
+            return _cast(saturated(_separable(a, k, k, border, np.float64)[::2, ::2] / 256, depth, even=True), depth), depth
+        # only places that stay are made; sums of bytes fit 16 bits
+        p = padded(a, 2, 2, 2, 2, border).astype(np.uint16)
+        row = _summed([p[:, i : i + w : 2] for i in range(5)], k, np.uint16)
+        return _shifted(_summed([row[i : i + h : 2] for i in range(5)], k, np.uint16), 8).astype(np.uint8), depth
+
+    return step
+
+
+def pyr_up():
+    """Zeros stand between the source's places, so even places see three of them, odd ones two."""
+
+    def twice(v, axis):
+        v = np.moveaxis(v, axis, 0)
+        n = len(v)
+        p = np.concatenate((v[min(1, n - 1)][None], v, v[-1:]))
+        out = np.empty((2 * n, *v.shape[1:]), dtype=v.dtype)
+        out[::2] = p[:-2] + 6 * p[1:-1] + p[2:]
+        out[1::2] = 4 * (p[1:-1] + p[2:])
+        return np.moveaxis(out, 0, axis)
+
+    def step(a, depth):
+        s = twice(twice(a.astype(np.uint16 if depth == "8U" else np.float64), 1), 0)
+        return (_shifted(s, 6).astype(np.uint8) if depth == "8U" else _cast(saturated(s / 64, depth, even=True), depth)), depth
+
+    return step
+
+
+def stack_blur(size: int):
+    ramp = (size // 2 + 1 - abs(np.arange(size) - size // 2)) / (size // 2 + 1) ** 2
+    return lambda a, depth: (_cast(saturated(_separable(a, ramp, ramp, "REPLICATE", np.float64), depth), depth), depth)
+
+
+def adaptive_threshold(high: int, method: str = "MEAN", kind: str = "BINARY", block: int = 3, c: float = 0.0):
+    local = box(block, block, "REPLICATE") if method == "MEAN" else gaussian(block, 0.0, "REPLICATE")
+    delta = np.ceil(c) if kind == "BINARY" else np.floor(c)
+    yes, no = (high, 0) if kind == "BINARY" else (0, high)
+    return lambda a, depth: (np.where(a.astype(np.int16) - local(a, depth)[0] > -delta, np.uint8(yes), np.uint8(no)), depth)
+
+
+def morphology(op: str, size: int = 3, border: str = "CONSTANT"):
+    """OPEN, CLOSE, GRADIENT, TOPHAT or BLACKHAT by a square; beyond a constant border lie zeros."""
+    low, high = erode(size, border), dilate(size, border)
+    opened, closed = (lambda a, d: high(*low(a, d))), (lambda a, d: low(*high(a, d)))
+
+    def less(a, b, depth):
+        # neither term exceeds the type, and their difference saturates
+        return _cast(saturated(a.astype(np.float64) - b, depth), depth)
+
+    steps = {
+        "OPEN": opened, "CLOSE": closed, "GRADIENT": lambda a, d: (less(high(a, d)[0], low(a, d)[0], d), d),
+        "TOPHAT": lambda a, d: (less(a, opened(a, d)[0], d), d), "BLACKHAT": lambda a, d: (less(closed(a, d)[0], a, d), d),
+    }
+    return steps[op]
+
+
+def bilateral(d: int, sigma_color: float, sigma_space: float, border: str = "REFLECT_101"):
+    """For 8U: differences of colour are few, so their weights are a table. Beyond a constant border nothing weighs."""
+    r = max(1, d // 2 if d > 0 else int(np.floor(sigma_space * 1.5 + 0.5)))
+    taps = [(y, x, np.exp(-0.5 * (y * y + x * x) / sigma_space**2)) for y in range(-r, r + 1) for x in range(-r, r + 1) if y * y + x * x <= r * r]
+
+    def step(a, depth):
+        h, w, n = a.shape
+        near = np.exp(np.arange(255 * n + 1, dtype=float) ** 2 * (-0.5 / sigma_color**2))
+        p, inside = padded(a.astype(np.int16), r, r, r, r, border), padded(np.ones((h, w, 1)), r, r, r, r, border)
+        mid, total, out = p[r : r + h, r : r + w], np.zeros((h, w)), np.zeros((h, w, n))
+        for y, x, far in taps:
+            part = p[r + y : r + y + h, r + x : r + x + w]
+            weight = near[np.abs(part - mid).sum(axis=2)] * far
+            if border == "CONSTANT":
+                weight *= inside[r + y : r + y + h, r + x : r + x + w, 0]
+            total += weight
+            out += weight[:, :, None] * part
+        return _cast(saturated(out / total[:, :, None], depth), depth), depth
+
+    return step
+
+
+def grown(strong: np.ndarray, weak: np.ndarray) -> np.ndarray:
+    """The weak places whose 8-connected component holds a strong one. A front moves on; each place is in it once."""
+    left, out = np.pad(weak | strong, 1), np.zeros((weak.shape[0] + 2, weak.shape[1] + 2), dtype=bool)
+    wide = left.shape[1]
+    around = np.array([dy * wide + dx for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx])
+    open_, reached = left.ravel(), out.ravel()
+    front = np.flatnonzero(np.pad(strong, 1))
+    while len(front):
+        reached[front], open_[front] = True, False
+        near = (front[:, None] + around).ravel()
+        front = np.unique(near[open_[near]])
+    return out[1:-1, 1:-1]
+
+
+def canny(low: float, high: float, aperture: int = 3, l2: bool = False):
+    dx, dy = (sobel(a, b, aperture, "16S", "REPLICATE") for a, b in ((1, 0), (0, 1)))
+    low, high = np.float32(min(low, high)), np.float32(max(low, high))
+    t1, t3 = np.tan(np.pi / 8), np.tan(3 * np.pi / 8)
+
+    def step(a, depth):
+        x, y = (d(a, depth)[0][:, :, 0].astype(np.float64) for d in (dx, dy))
+        size = (np.sqrt(x * x + y * y) if l2 else np.abs(x) + np.abs(y)).astype(np.float32)
+        # only places above the lower bound are looked at
+        i, j = np.nonzero(size > low)
+        p, own, gx, gy = np.pad(size, 1), size[i, j], x[i, j], y[i, j]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            slope = np.where(gx != 0, gy / gx, np.where(gy >= 0, 1e308, -1e308))
+        flat, fall, rise = np.abs(slope) < t1, (slope >= t1) & (slope <= t3), (slope >= -t3) & (slope <= -t1)
+        v = np.select([flat, fall, rise], [0, 1, -1], 1)
+        h = np.select([flat, fall, rise], [1, 1, 1], 0)
+        b, c = p[i + 1 + v, j + 1 + h], p[i + 1 - v, j + 1 - h]
+        kept = ((own > b) | ((own == b) & ~(fall | rise))) & (own > c)
+        weak, strong = np.zeros(size.shape, dtype=bool), np.zeros(size.shape, dtype=bool)
+        weak[i[kept], j[kept]] = True
+        strong[i[kept], j[kept]] = own[kept] > high
+        return np.where(grown(strong, weak), np.uint8(255), np.uint8(0))[:, :, None], "8U"
+
+    return step
+
+
+def warp_affine(matrix: np.ndarray, rows: int, cols: int, inverse: bool = False, border: str = "CONSTANT", value: float = 0):
+    """Linear; matrix: 2 x 3, from source to result, unless inverse. Beyond the source lies the value, or its edge (REPLICATE)."""
+    m = np.asarray(matrix, dtype=float) if inverse else kernels.invert_affine(np.asarray(matrix, dtype=float))
+    y, x = np.mgrid[:rows, :cols]
+    sx, sy = x * m[0, 0] + y * m[0, 1] + m[0, 2], x * m[1, 0] + y * m[1, 1] + m[1, 2]
+    x0, y0 = np.floor(sx).astype(int), np.floor(sy).astype(int)
+    wx, wy = (sx - x0)[:, :, None], (sy - y0)[:, :, None]
+
+    def step(a, depth):
+        h, w, n = a.shape
+        if border == "CONSTANT":
+            f = np.pad(a, ((1, 1), (1, 1), (0, 0)), constant_values=_cast(saturated(np.float64(value), depth), depth))
+            at = lambda q, k: np.clip(q, -1, k) + 1
+        else:
+            f = a
+            at = lambda q, k: np.clip(q, 0, k - 1)
+        flat, wide = f.reshape(-1, n), f.shape[1]
+        left, right = at(x0, w), at(x0 + 1, w)
+        top, below = at(y0, h) * wide, at(y0 + 1, h) * wide
+        out = flat[top + left] * ((1 - wy) * (1 - wx)) + flat[top + right] * ((1 - wy) * wx) + flat[below + left] * (wy * (1 - wx)) + flat[below + right] * (wy * wx)
+        return _cast(saturated(out, depth), depth), depth
+
+    return step
