@@ -28,12 +28,12 @@ def histogram(m: Mat, mask: Mat | None = None) -> DataFrame:
     return _selected(m, mask).groupBy("mat_id", "v").agg(F.count("*").alias("n"))
 
 
-def _per_matrix(m: Mat, found: DataFrame, default: float) -> DataFrame:
+def _per_matrix(m: Mat, found: DataFrame, default: float | None) -> DataFrame:
     return m.px.select("mat_id").distinct().join(found, "mat_id", "left").select("mat_id", F.coalesce("thresh", F.lit(default)).alias("thresh"))
 
 
-def otsu(m: Mat, mask: Mat | None = None) -> DataFrame:
-    """mat_id, thresh: the first value that parts the histogram with the largest variance between the parts. At most 256 rows a matrix reach the running sums."""
+def otsu(m: Mat, mask: Mat | None = None, unparted: float | None = 0.0) -> DataFrame:
+    """mat_id, thresh: the first value that parts the histogram with the largest variance between the parts; unparted where all values are equal, or none is selected. At most 256 rows a matrix reach the running sums."""
     w = Window.partitionBy("mat_id").orderBy("v")
     h = histogram(m, mask)
     all_ = Window.partitionBy("mat_id")
@@ -42,7 +42,7 @@ def otsu(m: Mat, mask: Mat | None = None) -> DataFrame:
     mb, mf = F.col("sb").cast("double") / F.col("nb"), (F.col("s") - F.col("sb")).cast("double") / F.when(nf > 0, nf)
     between = F.col("nb").cast("double") * nf * (mb - mf) * (mb - mf)
     best = c.where("n > nb").withColumn("between", between).groupBy("mat_id").agg(F.max_by("v", F.struct("between", -F.col("v"))).cast("double").alias("thresh"))
-    return _per_matrix(m, best, 0.0)
+    return _per_matrix(m, best, unparted)
 
 
 def triangle(m: Mat, mask: Mat | None = None) -> DataFrame:

@@ -21,6 +21,31 @@ def test_gram_of_all_rows(spark, duck):
     same(registry.QUERIES["gemm_gram_columns"](spark, SF), duck, registry.SQL["gemm_gram_columns"])
 
 
+@pytest.fixture(scope="module")
+def flat(tmp_path_factory):
+    """Tables whose heat map has one value: every cell saturated, and no events at all."""
+    import duckdb
+
+    found = []
+    for name, n in (("full", 16), ("none", 0)):
+        found.append(tmp_path_factory.mktemp(name))
+        duckdb.sql(f"copy (select u user_id, make_timestamp(2024, 1, 1, h // 2, h % 2 * 30, 0) ts from range(64) a(u), range(48) b(h), range({n}) c(k)) to '{found[-1]}/events.parquet' (format parquet)")
+    return found
+
+
+def _same_over(spark, name, dirs):
+    import duckdb
+
+    for d in dirs:
+        con = duckdb.connect()
+        con.sql(f"create view events as from '{d}/events.parquet'")
+        same(registry.QUERIES[name](spark, str(d)), con, registry.SQL[name])
+
+
+def test_otsu_of_one_value(spark, flat):
+    _same_over(spark, "heat_otsu", flat)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
