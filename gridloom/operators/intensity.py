@@ -61,21 +61,22 @@ def triangle(m: Mat, mask: Mat | None = None) -> DataFrame:
     return _per_matrix(m, h.select("mat_id", F.when(F.col("turned"), 255 - F.col("t")).otherwise(F.col("t")).cast("double").alias("thresh")), -1.0)
 
 
-def used_threshold(m: Mat, thresh: float, auto: str | None = None, mask: Mat | None = None) -> DataFrame:
+def used_threshold(m: Mat, thresh: float, auto: str | None = None, mask: Mat | None = None, unparted: float | None = 0.0) -> DataFrame:
     """mat_id, thresh as threshold() takes it; this alone is a dry run."""
     if auto:
         require(auto in ("OTSU", "TRIANGLE"), "BadArg", f"no method {auto}")
-        return otsu(m, mask) if auto == "OTSU" else triangle(m, mask)
+        return otsu(m, mask, unparted) if auto == "OTSU" else triangle(m, mask)
     t = float(math.floor(thresh)) if m.meta.depth == "8U" else float(thresh)
     return m.px.select("mat_id").distinct().withColumn("thresh", F.lit(t))
 
 
-def threshold(m: Mat, thresh: float, high: float, kind: str = "BINARY", auto: str | None = None, mask: Mat | None = None, old: Mat | None = None) -> Mat:
-    """Values above thresh. Of 8U, thresh is floored and high saturated; auto: OTSU or TRIANGLE choose thresh for each matrix. mask: other places keep old, which must be given."""
+def threshold(m: Mat, thresh: float, high: float, kind: str = "BINARY", auto: str | None = None, mask: Mat | None = None, old: Mat | None = None, unparted: float | None = 0.0) -> Mat:
+    """Values above thresh. Of 8U, thresh is floored and high saturated; auto: OTSU or TRIANGLE choose thresh for each matrix. mask: other places keep old, which must be given. unparted: as otsu() takes it; nothing is above a null."""
     require(mask is None or (old is not None and old.meta == m.meta), "BadArg", "what is not selected must exist, in the same type")
     top = saturate(F.lit(float(high)), m.meta.depth)
     if auto:
-        df = m.px.join(F.broadcast(used_threshold(m, thresh, auto, mask)) if mask is None else used_threshold(m, thresh, auto, mask), "mat_id")
+        used = used_threshold(m, thresh, auto, mask, unparted)
+        df = m.px.join(F.broadcast(used) if mask is None else used, "mat_id")
         t = F.col("thresh")
     else:
         df, t = m.px, F.lit(float(math.floor(thresh)) if m.meta.depth == "8U" else float(thresh))

@@ -115,7 +115,7 @@ for _k, _sql in (("BINARY", "case when v > 96 then 200 else 0 end"), ("BINARY_IN
     query(f"heat_threshold_{_k.lower()}", lambda s, d, k=_k: it.threshold(heat(s, d), 96.7, 200, k), f"select y, x, c, ({_sql})::int v from heat")
 _OTSU = "h as (select v, count(*) n from heat group by v), o as (select v, sum(n) over (order by v) nb, sum(n * v) over (order by v) sb, sum(n) over () n, sum(n * v) over () s from h), t as (select arg_max(v, (b, -v)) t from (select v, nb::double * (n - nb)::double * (sb::double / nb - (s - sb)::double / (n - nb)) * (sb::double / nb - (s - sb)::double / (n - nb)) b from o where n > nb))"
 query("heat_otsu", lambda s, d: it.otsu(heat(s, d), unparted=None).select("thresh"), "select t::double thresh from t", _OTSU)
-query("heat_threshold_otsu", lambda s, d: it.threshold(heat(s, d), 0, 255, auto="OTSU"), "select y, x, c, case when v > t then 255 else 0 end v from heat, t", _OTSU)
+query("heat_threshold_otsu", lambda s, d: it.threshold(heat(s, d), 0, 255, auto="OTSU", unparted=None), "select y, x, c, case when v > t then 255 else 0 end v from heat, t", _OTSU)
 query(
     "heat_triangle", lambda s, d: it.triangle(heat(s, d)).select("thresh"),
     "select case when f then 255 - (t - 1) else t - 1 end::double thresh from (select any_value(f) f, coalesce(arg_max(i, (top * i + (lo - pk) * n, -i)) filter (i > lo and i <= pk and top * i + (lo - pk) * n > 0), any_value(lo)) t from m)",

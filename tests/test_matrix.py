@@ -118,6 +118,13 @@ def test_otsu_of_two_values_and_of_nothing(spark):
     assert intensity.otsu(m, Mat.zeros(spark, Meta(1, 3))).first().thresh == 0.0
 
 
+def test_otsu_of_one_value(spark):
+    m = Mat.full(spark, Meta(2, 3), 255)
+    assert intensity.otsu(m).first().thresh == 0.0 and intensity.otsu(m, unparted=None).first().thresh is None
+    for unparted, kind, v in ((0.0, "BINARY", 200), (None, "BINARY", 0), (None, "BINARY_INV", 200), (None, "TRUNC", 255), (None, "TOZERO", 0), (None, "TOZERO_INV", 255)):
+        assert (intensity.threshold(m, 0, 200, kind, auto="OTSU", unparted=unparted).to_numpy() == v).all()
+
+
 def test_many_matrices_at_once(spark):
     a, b = lcg(6, 5, seed=1), lcg(6, 5, seed=2)
     m = Mat(Mat.from_numpy(spark, a, mat_id="a").px.unionByName(Mat.from_numpy(spark, b, mat_id="b").px), Meta(6, 5))

@@ -46,6 +46,10 @@ def test_otsu_of_one_value(spark, flat):
     _same_over(spark, "heat_otsu", flat)
 
 
+def test_threshold_otsu_of_one_value(spark, flat):
+    _same_over(spark, "heat_threshold_otsu", flat)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
